@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspan.llm import chat, quality, warc
+from larkspan.llm import chat, decontam, langid, quality, simhash, toxicity, warc
 from larkspan.llm.common import new_folder
 from larkspan.sources import table
 
@@ -14,6 +14,42 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(table(spark, sf_dir, "documents"))
 
 
+def fold(of: int) -> Column:
+    """crc32 of the id as text, modulo ``of``; null for a null id."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % of
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(docs.filter(fold(5) != 0))
+    found = langid.predict(F.col("text"), model)
+    return docs.select("doc_id", found.alias("x"), F.coalesce(fold(5) == 0, F.lit(False)).alias("held_out")).select(
+        "doc_id", "held_out", F.col("x.lang").alias("lang_pred"), "x.score"
+    )
+
+
+def op5_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    digits = F.lower(F.lpad(F.hex("fp"), 16, "0"))
+    return found.select("doc_id", digits.alias("fingerprint"), "component_id")
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs.filter(fold(4) != 2), table(spark, sf_dir, "labels"))
+    scored = docs.select(
+        "doc_id",
+        F.coalesce(fold(4) == 2, F.lit(False)).alias("held_out"),
+        toxicity.score(F.col("text"), model).alias("score"),
+    )
+    return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each document and benchmark item that it holds, and for no other."""
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rendered dialogues, their masks as ``start:end`` joined by commas."""
     spans = F.transform("mask", lambda m: F.concat_ws(":", m["start"], m["end"]))
@@ -76,8 +112,12 @@ FROM d
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_language_id": op2_language_id,
+    "op5_simhash_trie": op5_simhash_trie,
     "op6_chat_rotation": op6_chat_rotation,
     "op7_warc_bundles": op7_warc_bundles,
+    "op9_toxicity": op9_toxicity,
+    "op10_decontamination": op10_decontamination,
 }
 
 ORACLES = {
