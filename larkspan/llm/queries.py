@@ -4,8 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-
-from larkspan.llm import chat, decontam, langid, quality, simhash, toxicity, warc
+from public_tokenizers import path as tokenizer_path
+
+from larkspan.llm import (
+    chat,
+    decontam,
+    langid,
+    licenses,
+    packing,
+    quality,
+    secret_scan,
+    simhash,
+    toxicity,
+    warc,
+)
 from larkspan.llm.common import new_folder
 from larkspan.sources import table
 
@@ -28,12 +40,51 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return packing.packed_documents(docs, tokenizer_path("word_bpe_49k.json"))
+
+
+def _joined_spans(spans: Column) -> Column:
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = table(spark, sf_dir, "documents").select(
+        "doc_id", secret_scan.secrets_of(F.col("text")).alias("found")
+    )
+    of_kind = lambda kind: F.size(F.filter("found", lambda s: s["kind"] == kind)).cast("long")
+    base = F.filter("found", lambda s: s["kind"] != "literal")
+    return found.select(
+        "doc_id",
+        *(of_kind(kind).alias(f"n_{kind}") for kind in ("assign", "access", "hex")),
+        F.sha2(_joined_spans(base), 256).alias("base_sha256"),
+        _joined_spans(F.col("found")).alias("spans"),
+    )
+
+
 def op5_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     digits = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return found.select("doc_id", digits.alias("fingerprint"), "component_id")
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = table(spark, sf_dir, "documents").select(
+        "doc_id", licenses.license_scan(F.col("text")).alias("x")
+    )
+    return found.select(
+        "doc_id",
+        "x.n_words",
+        F.size("x.places").cast("long").alias("n_base"),
+        F.array_min("x.places").alias("first_word"),
+        F.array_max("x.places").alias("last_word"),
+        F.array_join("x.base_labels", ",").alias("base_labels"),
+        F.array_join("x.labels", ",").alias("labels"),
+        "x.score",
+    )
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.fit(docs.filter(fold(4) != 2), table(spark, sf_dir, "labels"))
@@ -113,9 +164,12 @@ FROM d
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_language_id": op2_language_id,
+    "op3_best_fit_packing": op3_best_fit_packing,
+    "op4_secret_scan": op4_secret_scan,
     "op5_simhash_trie": op5_simhash_trie,
     "op6_chat_rotation": op6_chat_rotation,
     "op7_warc_bundles": op7_warc_bundles,
+    "op8_license_scan": op8_license_scan,
     "op9_toxicity": op9_toxicity,
     "op10_decontamination": op10_decontamination,
 }
