@@ -31,6 +31,8 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from larkspan.llm.common import stored
+
 # Fixed values of the seekable format.
 SKIPPABLE_MAGIC = 0x184D2A5E
 SEEKABLE_MAGIC = 0x8F92EAB1
@@ -52,7 +54,9 @@ def with_record_types(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
 
     Payloads of less than ``min_bytes`` bytes are responses always. Equal payloads are
     found by SHA-256. Per payload only its largest id is kept on the way, summed up
-    before the shuffle; the rows are joined to it, and a join splits a hot payload.
+    before the shuffle; what repeats is stored, and the rows are joined to it. A join
+    splits a hot payload, and needs no shuffle of the pages where little repeats. Rows
+    that repeat the largest id as well are numbered apart, if there are any.
     """
     rows = pages.select(
         "page_id", "url", F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("payload")
@@ -63,7 +67,7 @@ def with_record_types(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     per_id = rows.filter("_key is not null").groupBy("_key", "page_id").agg(
         F.count("*").alias("n")
     )
-    repeated = (
+    repeated = stored(
         per_id.groupBy("_key")
         .agg(F.max(F.struct("page_id", "n")).alias("top"), F.sum("n").alias("n"))
         .filter("n > 1")
@@ -71,20 +75,19 @@ def with_record_types(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
             F.col("_key").alias("_of"),
             F.col("top.page_id").alias("_first"),
             F.col("top.n").alias("_ties"),
-        )
-    )
-    joined = rows.join(repeated, F.col("_key") == F.col("_of"), "left").withColumn(
-        "_top", F.col("page_id").eqNullSafe(F.col("_first"))
+        ),
+        "payloads",
     )
-    tied = F.col("_of").isNotNull() & F.col("_top") & (F.col("_ties") > 1)
-    plain = joined.filter(~F.coalesce(tied, F.lit(False))).withColumn(
-        "_response", F.col("_of").isNull() | F.col("_top")
+    marked = rows.join(repeated, F.col("_key") == F.col("_of"), "left").withColumn(
+        "_response", F.col("_of").isNull() | F.col("page_id").eqNullSafe(F.col("_first"))
     )
-    among_ties = joined.filter(tied).withColumn(
-        "_response",
-        F.row_number().over(Window.partitionBy("_key").orderBy("url")) == 1,
-    )
-    return plain.unionByName(among_ties).select(
+    if not repeated.filter("_ties > 1").isEmpty():
+        tied = F.col("_response") & (F.coalesce("_ties", F.lit(1)) > 1)
+        first = F.row_number().over(Window.partitionBy("_key").orderBy("url")) == 1
+        marked = marked.filter(~tied).unionByName(
+            marked.filter(tied).withColumn("_response", first)
+        )
+    return marked.select(
         "page_id",
         "url",
         "payload",
