@@ -272,3 +272,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         F.col("fp").alias("of"), F.coalesce("lowest", "first").alias("component_id")
     )
     return marked.join(classes, F.col("fp") == F.col("of")).select("doc_id", "fp", "component_id")
+
+
+def without_near_duplicates(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that stand for their component: those with its smallest id.
+
+    Rows with a null id stay, as no id names their group; of rows that repeat an id one
+    stays, and only if there are such rows are documents shuffled to find them.
+    """
+    found = stored(near_duplicates(docs), "components")
+    chosen = found.filter("doc_id = component_id").select(F.col("doc_id").alias("chosen"))
+    kept = docs.join(chosen.distinct(), F.col("doc_id") == F.col("chosen"), "left_semi")
+    repeated = chosen.groupBy("chosen").count().filter("count > 1")
+    if not repeated.isEmpty():
+        kept = kept.dropDuplicates(["doc_id"])
+    return kept.union(docs.filter("doc_id is null"))
