@@ -134,7 +134,7 @@ def text_measures(docs: DataFrame) -> DataFrame:
     )
     exact = likely.select(
         *kept,
-        F.when(F.size("words") * F.size("likely") > 0, by_window)
+        F.when((F.size("words") > 0) & (F.size("likely") > 0), by_window)
         .otherwise(F.array().cast("array<struct<window:string,at:int>>"))
         .alias("by_window"),
     )
