@@ -201,7 +201,7 @@ def fit(train: DataFrame, per_lang: int = 1000) -> Model:
 
     fitted = (
         sample.select(F.xxhash64("doc_id").alias("key"), "lang", _vectors(F.col("text"), idf).alias("x"))
-        .coalesce(1)
+        .repartition(1)
         .mapInArrow(learn, "w array<double>, t double")
         .first()
     )
