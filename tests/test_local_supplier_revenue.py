@@ -4,10 +4,14 @@ import re
 
 import duckdb
 import pytest
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from larkspan.plans.local_supplier_revenue import (
+    DISCOUNT,
     LOCAL_SUPPLIER_REVENUE_SQL,
+    PRICE,
+    exactly,
     local_supplier_revenue,
 )
 from larkspan.sources import TABLES, table
@@ -61,6 +65,94 @@ def test_broadcast_suppliers_filter_before_the_sum(spark, conf):
     assert "BroadcastHashJoin [l_suppkey" in lines[exchange + 2]
 
 
+def test_large_data_plan(spark, conf):
+    """A limit between ``nation`` and ``supplier``, where large tables are: the dimensions
+    of fixed size are broadcast, the facts are shuffled on their keys."""
+    conf("spark.sql.autoBroadcastJoinThreshold", "6000")
+    conf("spark.sql.adaptive.autoBroadcastJoinThreshold", "6000")
+    df = local_supplier_revenue(spark, "/root/testdata/sf0.1")
+    plan = executed_plan(df)
+    lines = plan.splitlines()
+    joins = [line for line in lines if "Join" in line]
+    for key in ("n_regionkey", "c_nationkey", "s_nationkey"):
+        assert any("BroadcastHashJoin" in j and key in j for j in joins), plan
+    for keys in ("[o_custkey", "[l_orderkey", "[l_suppkey"):
+        assert any("SortMergeJoin" in j and keys in j for j in joins), plan
+    assert not any("BroadcastExchange" in line and "l_orderkey" in line for line in lines)
+    (at,) = [i for i, line in enumerate(lines) if "Exchange hashpartitioning(l_suppkey" in line]
+    assert "partial_sum" in lines[at + 1]
+    assert assert_same(df, "/root/testdata/sf0.1", LOCAL_SUPPLIER_REVENUE_SQL)
+
+
+def test_bloom_filter_prunes_the_lines(spark, conf):
+    """With the limits lowered to this data, lines are tested against the orders kept
+    before they are shuffled, and the result is the same."""
+    conf("spark.sql.autoBroadcastJoinThreshold", "3000")
+    conf("spark.sql.adaptive.autoBroadcastJoinThreshold", "3000")
+    conf("spark.sql.optimizer.runtime.bloomFilter.enabled", "true")
+    conf("spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold", "1")
+    df = local_supplier_revenue(spark, SF_DIR)
+    plan = executed_plan(df)
+    assert "might_contain" in plan and "xxhash64(l_orderkey" in plan, plan
+    assert assert_same(df, SF_DIR, LOCAL_SUPPLIER_REVENUE_SQL)
+
+
+PLAIN_SQL = """
+    SELECT n_name, sum(l_extendedprice * (1 - l_discount)) AS revenue
+    FROM region, nation, customer, orders, lineitem, supplier
+    WHERE r_name = 'ASIA' AND n_regionkey = r_regionkey AND c_nationkey = n_nationkey
+      AND o_custkey = c_custkey AND l_orderkey = o_orderkey AND s_suppkey = l_suppkey
+      AND s_nationkey = c_nationkey AND year(o_orderdate) = 1996
+    GROUP BY n_name
+"""
+
+
+@pytest.mark.parametrize("sf", ["0.001", "0.01", "0.1"])
+def test_agrees_with_plain_doubles(spark, sf):
+    """An oracle that shares no cast with the query."""
+    sf_dir = f"/root/testdata/sf{sf}"
+    want = dict(oracle_rows(sf_dir, PLAIN_SQL)[1])
+    got = {r.n_name: r.revenue for r in local_supplier_revenue(spark, sf_dir).collect()}
+    assert got.keys() == want.keys()
+    assert all(got[n] == pytest.approx(want[n], rel=1e-9) for n in want)
+
+
+@pytest.mark.parametrize("ansi", ["true", "false"])
+@pytest.mark.parametrize(
+    ("column", "value"),
+    [
+        ("l_extendedprice", "100.005"),
+        ("l_extendedprice", "1e11"),
+        ("l_extendedprice", "double('NaN')"),
+        ("l_discount", "0.105"),
+    ],
+)
+def test_inexact_money_is_an_error(spark, conf, ansi, column, value):
+    conf("spark.sql.ansi.enabled", ansi)
+    kind = PRICE if column == "l_extendedprice" else DISCOUNT
+    row = spark.sql(f"SELECT cast({value} as double) AS {column}")
+    with pytest.raises(PySparkException, match=f"{column} is no decimal"):
+        row.select(exactly(column, kind)).collect()
+
+
+@pytest.mark.parametrize("ansi", ["true", "false"])
+def test_exact_money_and_null(spark, conf, ansi):
+    conf("spark.sql.ansi.enabled", ansi)
+    rows = spark.sql("SELECT * FROM VALUES (100.01D), (9999999999.99D), (NULL) AS t(l_extendedprice)")
+    got = [r[0] for r in rows.select(exactly("l_extendedprice", PRICE)).collect()]
+    assert [None if x is None else str(x) for x in got] == ["100.01", "9999999999.99", None]
+
+
+def test_a_line_with_three_decimals_fails_the_query(spark, tmp_path):
+    for name in TABLES:
+        df = table(spark, "/root/testdata/sf0.001", name)
+        if name == "lineitem":
+            df = df.withColumn("l_extendedprice", F.col("l_extendedprice") + 0.005)
+        df.coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")
+    with pytest.raises(PySparkException, match="l_extendedprice is no decimal"):
+        local_supplier_revenue(spark, str(tmp_path)).collect()
+
+
 def test_no_unbounded_operator(spark, conf):
     conf("spark.sql.autoBroadcastJoinThreshold", "-1")
     plan = executed_plan(local_supplier_revenue(spark, SF_DIR))
@@ -142,3 +234,33 @@ def test_hot_keys(spark, conf, skewed_dir, tmp_path):
     joins = [line for line in final.splitlines() if "SortMergeJoin(skew=true)" in line]
     for column in ("[l_orderkey", "[o_custkey"):
         assert any(column in line for line in joins), final
+
+
+def test_hot_nation(spark, conf, tmp_path):
+    """With broadcasting off, customers and suppliers are shuffled on 25 nation keys; one
+    nation holds a third of each and is split."""
+    base = "/root/testdata/sf0.1"
+    asia = "SELECT min(n_nationkey) FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'ASIA'"
+    ((nation,),) = oracle_rows(base, asia)[1]
+    out = tmp_path / "hot"
+    for name in TABLES:
+        df = table(spark, base, name)
+        if name == "customer":
+            df = df.withColumn("c_nationkey", hot("c_nationkey", nation, "c_custkey"))
+        if name == "supplier":
+            df = df.withColumn("s_nationkey", hot("s_nationkey", nation, "s_suppkey"))
+        df.repartition(16).write.parquet(str(out / f"{name}.parquet"))
+    conf("spark.sql.autoBroadcastJoinThreshold", "-1")
+    conf("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
+    conf("spark.sql.shuffle.partitions", "64")
+    conf("spark.sql.files.maxPartitionBytes", "64k")
+    conf("spark.sql.files.openCostInBytes", "1k")
+    conf("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    conf("spark.sql.adaptive.advisoryPartitionSizeInBytes", "2k")
+    conf("spark.sql.adaptive.skewJoin.skewedPartitionFactor", "1.5")
+    conf("spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes", "2k")
+    df = local_supplier_revenue(spark, str(out))
+    assert assert_same(df, str(out), LOCAL_SUPPLIER_REVENUE_SQL)
+    final = executed_plan(df).split("== Initial Plan ==")[0]
+    joins = [line for line in final.splitlines() if "SortMergeJoin(skew=true)" in line]
+    assert any("[c_nationkey" in line for line in joins), final

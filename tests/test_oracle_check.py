@@ -1,0 +1,46 @@
+"""The oracle check itself: what it has to tell apart, and what not."""
+
+import pytest
+
+from larkspan.sources import table
+from tests.oracle_check import assert_same
+
+SF_DIR = "/root/testdata/sf0.001"
+
+
+@pytest.mark.parametrize(
+    ("spark_sql", "duck_sql"),
+    [
+        ("0 as x", "0.0::DOUBLE AS x"),
+        ("0 as x", "0::BIGINT AS x"),
+        ("cast(1 as decimal(5,2)) as x", "1::DOUBLE AS x"),
+        ("1 as x", "2 AS x"),
+        ("array(1, 2) as x", "[2, 1] AS x"),
+        ("named_struct('a', 1) as x", "{'a': 2} AS x"),
+        ("1 as x", "1 AS y"),
+        ("cast(null as int) as x", "0 AS x"),
+    ],
+)
+def test_tells_apart(spark, spark_sql, duck_sql):
+    with pytest.raises(AssertionError):
+        assert_same(spark.sql(f"SELECT {spark_sql}"), SF_DIR, f"SELECT {duck_sql}")
+
+
+@pytest.mark.parametrize(
+    ("spark_sql", "duck_sql"),
+    [
+        ("double('NaN') as x", "'NaN'::DOUBLE AS x"),
+        ("array(double('NaN'), null) as x", "['NaN'::DOUBLE, NULL] AS x"),
+        ("named_struct('a', 1, 'b', array('u')) as x", "{'a': 1, 'b': ['u']} AS x"),
+        ("map('k', 1) as x", "MAP {'k': 1} AS x"),
+        ("x'00ff' as x", "'\\x00\\xff'::BLOB AS x"),
+        ("cast(1 as decimal(5,2)) as x", "1::DECIMAL(5,2) AS x"),
+        ("2 as b, 1 as a", "1 AS a, 2 AS b"),
+    ],
+)
+def test_takes_as_equal(spark, spark_sql, duck_sql):
+    assert assert_same(spark.sql(f"SELECT {spark_sql}"), SF_DIR, f"SELECT {duck_sql}") == 1
+
+
+def test_array_column(spark):
+    assert assert_same(table(spark, SF_DIR, "embeddings"), SF_DIR, "SELECT * FROM embeddings") == 500
