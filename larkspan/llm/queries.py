@@ -18,7 +18,7 @@ from larkspan.llm import (
     toxicity,
     warc,
 )
-from larkspan.llm.common import new_folder
+from larkspan.llm.common import new_folder, with_package
 from larkspan.sources import table
 
 
@@ -161,18 +161,20 @@ SELECT page_id, payload_bytes,
 FROM d
 """
 
-QUERIES = {
-    "op1_quality_rules": op1_quality_rules,
-    "op2_language_id": op2_language_id,
-    "op3_best_fit_packing": op3_best_fit_packing,
-    "op4_secret_scan": op4_secret_scan,
-    "op5_simhash_trie": op5_simhash_trie,
-    "op6_chat_rotation": op6_chat_rotation,
-    "op7_warc_bundles": op7_warc_bundles,
-    "op8_license_scan": op8_license_scan,
-    "op9_toxicity": op9_toxicity,
-    "op10_decontamination": op10_decontamination,
-}
+OPERATORS = (
+    op1_quality_rules,
+    op2_language_id,
+    op3_best_fit_packing,
+    op4_secret_scan,
+    op5_simhash_trie,
+    op6_chat_rotation,
+    op7_warc_bundles,
+    op8_license_scan,
+    op9_toxicity,
+    op10_decontamination,
+)
+
+QUERIES = {query.__name__: with_package(query) for query in OPERATORS}
 
 ORACLES = {
     "op1_quality_rules": quality.QUALITY_SQL.format(min_rows=200, fence=4),
