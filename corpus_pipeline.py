@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from public_tokenizers import path as tokenizer_path
 
 from larkspan.llm import decontam, packing, secret_scan, simhash, toxicity
-from larkspan.llm.common import stored
+from larkspan.llm.common import stored, with_package
 from larkspan.sources import table
 
 TOXIC_FROM = 0.3
@@ -52,11 +52,11 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
-    ("toxicity", drop_toxic),
-    ("simhash_near_dedup", drop_near_duplicates),
-    ("decontamination", drop_contaminated),
-    ("secret_scan", redact_secrets),
-    ("packing", pack),
+    ("toxicity", with_package(drop_toxic)),
+    ("simhash_near_dedup", with_package(drop_near_duplicates)),
+    ("decontamination", with_package(drop_contaminated)),
+    ("secret_scan", with_package(redact_secrets)),
+    ("packing", with_package(pack)),
 ]
 
 # SQL has neither the classifier nor the tokenizer.
