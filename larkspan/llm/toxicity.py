@@ -133,7 +133,8 @@ def fit(
         .agg(F.max(label).cast("int").alias("label"))
     )
     texts = docs.select("doc_id", "text").filter(F.col("doc_id").isNotNull())
-    counts = ngram_counts(texts.join(known, "doc_id")).cache()
+    # Labels grow with the documents, so texts and labels meet by a sorted join at any size.
+    counts = ngram_counts(texts.join(known.hint("merge"), "doc_id")).cache()
     try:
         total = counts.filter(F.col("bucket") == ALL).first()
         pos, neg = (total.pos, total.neg) if total else (0, 0)
@@ -161,10 +162,11 @@ def fit(
         weights, bias = _fit(rows, marks, each, ratios)
         yield pa.RecordBatch.from_pydict({"weights": [weights.tolist()], "bias": [float(bias)]})
 
-    # One task fits, on the few chosen features of a bounded number of texts.
+    # One task fits, on the few chosen features of a bounded number of texts; they are
+    # found in parallel before.
     fitted = (
         sample.select(_features(F.col("text"), buckets).alias("x"), "label")
-        .coalesce(1)
+        .repartition(1)
         .mapInArrow(learn, "weights array<double>, bias double")
         .first()
     )
@@ -201,6 +203,7 @@ def score(text: Column, model: Model) -> Column:
         weight[model.buckets] = model.weights
         for texts in batches:
             z = [model.bias + weight[s].sum() for s in _sets(texts.to_pylist(), keep)]
-            yield pa.array(1 / (1 + np.exp(-np.clip(np.array(z, float), -700, 700))))
+            with np.errstate(over="ignore"):
+                yield pa.array(1 / (1 + np.exp(-np.array(z, float))))
 
     return probability(text)
