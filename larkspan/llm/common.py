@@ -50,10 +50,10 @@ def with_package(query):
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share, without a final slash.
 
-    It is the cluster's ``spark.checkpoint.dir``. Only where that is unset, as in tests,
-    a new local folder is taken and set for the session.
+    It is the cluster's ``spark.checkpoint.dir``, or the checkpoint folder that the session
+    was given. Only where both are unset, as in tests, a new local folder is taken and set.
     """
-    path = spark.conf.get("spark.checkpoint.dir", None)
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if path is None:
         path = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", path)

@@ -13,7 +13,7 @@ Defined cases: a null item or id, and an item of under ``MIN_WORDS`` words, whic
 not show a leak, are left out; a null or empty text has no match; repeated rows and
 repeated items each give their matches; of several places of an item in a text the
 nearest, then the first, is given; no items or no documents give no match. Other
-columns are ignored or, in ``with_matches``, kept.
+columns are ignored or, in ``without_contaminated``, kept.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_right
 from collections.abc import Iterator
+from functools import reduce
 from itertools import accumulate
 
 import ahocorasick
@@ -28,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from larkspan.llm.common import stored
+
 WORD = re.compile(r"\w+")
 MIN_WORDS, EDITS_IN = 5, 5
 MATCHES = "array<struct<item_id:bigint,distance:int,words:int,start:bigint,end:bigint>>"
@@ -146,8 +149,8 @@ class Matcher:
 def item_blocks(benchmark: DataFrame, block_bytes: int) -> list[list[tuple[int, list[str]]]]:
     """The items in blocks of at most ``block_bytes`` characters (or one longer item).
 
-    The items pass through the driver one by one; each block goes to the tasks with the
-    function that looks for it.
+    The items are a set of queries that fits the driver; each block goes to the tasks with
+    the function that looks for it.
     """
     blocks, size = [[]], 0
     rows = benchmark.select("item_id", "text").dropna().orderBy("item_id", "text")
@@ -173,14 +176,22 @@ def _matches(text: Column, items: list[tuple[int, list[str]]]) -> Column:
     return find(text)
 
 
-def matches_of(text: Column, benchmark: DataFrame, block_bytes: int = 8 << 20) -> Column:
-    """The matches of each text with all items."""
-    return F.concat(*(_matches(text, b) for b in item_blocks(benchmark, block_bytes)))
-
-
 def contaminated(docs: DataFrame, benchmark: DataFrame, block_bytes: int = 8 << 20) -> DataFrame:
-    """``doc_id`` and the match, for each document and item that match."""
-    found = docs.select(
-        "doc_id", F.explode(matches_of(F.col("text"), benchmark, block_bytes)).alias("m")
-    )
-    return found.select("doc_id", "m.*")
+    """``doc_id`` and the match, for each document and item that match: a pass for each block."""
+    found = [
+        docs.select("doc_id", F.explode(_matches(F.col("text"), block)).alias("m"))
+        for block in item_blocks(benchmark, block_bytes)
+    ]
+    return reduce(DataFrame.union, found).select("doc_id", "m.*")
+
+
+def without_contaminated(
+    docs: DataFrame, benchmark: DataFrame, block_bytes: int = 8 << 20
+) -> DataFrame:
+    """The rows of ``docs`` that match no item; what one block leaves is stored for the next."""
+    blocks = item_blocks(benchmark, block_bytes)
+    for number, block in enumerate(blocks):
+        docs = docs.filter(F.size(_matches(F.col("text"), block)) == 0)
+        if number < len(blocks) - 1:
+            docs = stored(docs, "decontaminated")
+    return docs

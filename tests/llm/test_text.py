@@ -341,3 +341,13 @@ def test_masks_are_those_within_the_budget():
     for bits in (1, 4, 8):
         want = {m for n in range(4) for m in (sum(c) for c in combinations([1 << i for i in range(bits)], n))}
         assert {m for m, _ in simhash._masks(bits)} == want
+
+
+def test_benchmark_in_blocks_drops_the_same_rows(spark):
+    docs = table(spark, SMALL, "documents")
+    bench = table(spark, SMALL, "benchmark")
+    assert len(decontam.item_blocks(bench, 2000)) > 3
+    found = {r.doc_id for r in decontam.contaminated(docs, bench).collect()}
+    kept = decontam.without_contaminated(docs, bench, block_bytes=2000)
+    assert kept.columns == docs.columns and found
+    assert {r.doc_id for r in kept.collect()} == {r.doc_id for r in docs.collect()} - found
