@@ -27,6 +27,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -34,21 +35,26 @@ from tokenizers import Tokenizer
 from larkspan.llm.common import stored
 
 CAPACITY, END = 4096, 1
-KEPT_WORDS, WORDS_AT_ONCE, BYTES_OUT = 600_000, 20_000, 4 << 20
+KEPT_WORDS, WORDS_AT_ONCE, BYTES_OUT = 500_000, 20_000, 4 << 20
 BYTES_AT_ONCE, PER_BUCKET = 6 << 20, 1000
 
 # ASCII punctuation, and letters up to U+00FF, which no normal form changes.
-PUNCTUATION = string.punctuation.encode()
+PUNCTUATION = string.punctuation
+PLAIN = "^[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+$"
+TAIL = r"(?P<tail>[!-/:-@\[-`{-~]+)$"
 LATIN = re.compile(rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
+# Lengths that may be used up before the index of sums is made anew.
+REFRESH = 24
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids binary"
 
 
 class WordTokenizer:
     """Ids of texts by a ``tokenizers`` vocabulary in which white space ends a word.
 
-    A word has the same ids wherever it stands, so the words of a few texts are looked up
-    once each. Letters before final punctuation are encoded many at a time and kept from
-    one call to the next; the number kept is bounded. All other words are encoded alone.
+    A word has the same ids wherever it stands, so the distinct words of some texts are
+    encoded and put together by their numbers. Letters and the punctuation after them count
+    as two words. Words of letters are encoded many at a time, all others alone; what is
+    found is kept from one call to the next, up to a bound.
     """
 
     def __init__(self, spec: str):
@@ -64,7 +70,7 @@ class WordTokenizer:
         self.encode = Tokenizer.from_str(spec).encode_batch_fast
         self.ends = np.zeros(max(model["vocab"].values()) + 1, bool)
         self.ends[[i for token, i in model["vocab"].items() if token.endswith("</w>")]] = True
-        self.letters: dict[bytes, bytes] = {}
+        self.known: dict[bytes, bytes] = {}
 
     def _alone(self, words: list[bytes]) -> list[bytes]:
         found = self.encode([w.decode() for w in words], add_special_tokens=False)
@@ -80,30 +86,60 @@ class WordTokenizer:
                 raise ValueError("the vocabulary does not end each word once")
             raw, start = ids.tobytes(), 0
             for word, end in zip(part, (ends * 4).tolist(), strict=True):
-                self.letters[word] = raw[start:end]
+                self.known[word] = raw[start:end]
                 start = end
 
-    def ids(self, texts: list[list[bytes]]) -> list[bytes]:
-        """The ids of each text, given as its words."""
-        if len(self.letters) > KEPT_WORDS:
-            self.letters = {}
-        plain, others = {}, []
-        for word in set().union(*texts):
-            core = word.rstrip(PUNCTUATION)
-            if core.isalpha():
-                plain[word] = core.lower(), word[len(core) :]
-            elif LATIN.fullmatch(core):
-                plain[word] = core.decode().lower().encode(), word[len(core) :]
-            else:
-                others.append(word)
-        self._learn(list({core for core, _ in plain.values()} - self.letters.keys()))
-        marks = list({mark for _, mark in plain.values()})
-        mark_ids = dict(zip(marks, self._alone(marks), strict=True))
-        known = dict(zip(others, self._alone(others), strict=True))
-        letters = self.letters
-        for word, (core, mark) in plain.items():
-            known[word] = letters[core] + mark_ids[mark] if mark else letters[core]
-        return [b"".join(map(known.__getitem__, words)) for words in texts]
+    def _lookup(self, keys: list[bytes]) -> list[bytes]:
+        """The ids of words of which plain ones are in lower case, without punctuation."""
+        if len(self.known) > KEPT_WORDS:
+            self.known = {}
+        known = self.known
+        new = [k for k in keys if k not in known]
+        plain = [k for k in new if k.isalpha() or LATIN.fullmatch(k)]
+        others = list(set(new).difference(plain))
+        self._learn(plain)
+        known.update(zip(others, self._alone(others), strict=True))
+        return [known[k] for k in keys]
+
+    def ids(self, texts: pa.Array) -> list[bytes]:
+        """The ids of each text (a string array); a null text has none.
+
+        Words are split, told apart, trimmed and lower-cased by Arrow; only the distinct
+        results become Python objects.
+        """
+        split = pc.ascii_split_whitespace(texts.fill_null(""))
+        words = split.values.dictionary_encode()
+        vocabulary = words.dictionary
+        cores = pc.ascii_rtrim(vocabulary, PUNCTUATION)
+        plain = pc.match_substring_regex(cores, PLAIN)
+        keys = pc.if_else(plain, pc.utf8_lower(cores), vocabulary).dictionary_encode()
+        cut = pc.and_(plain, pc.less(pc.binary_length(cores), pc.binary_length(vocabulary)))
+        tails = pc.struct_field(pc.extract_regex(vocabulary.filter(cut), TAIL), "tail").dictionary_encode()
+        heads = _distinct(keys)
+        ends = [b"", *_distinct(tails)]
+        found = self._lookup(heads) + [b"", *self._lookup(ends[1:])]
+        lengths = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        starts = np.cumsum(lengths) - lengths
+        tokens = np.frombuffer(b"".join(found), "<u4")
+        # Each word is two parts: its letters (or all of it) and its punctuation (or nothing).
+        tail_of = np.full(len(vocabulary), len(heads))
+        tail_of[cut.to_numpy(zero_copy_only=False)] = len(heads) + 1 + tails.indices.to_numpy()
+        at = words.indices.to_numpy()
+        part = np.stack([keys.indices.to_numpy()[at], tail_of[at]], axis=1).ravel()
+        n = lengths[part]
+        before = np.concatenate([[0], np.cumsum(n)])
+        placed = tokens[np.repeat(starts[part] - before[:-1], n) + np.arange(before[-1])]
+        bounds = before[2 * split.offsets.to_numpy()].tolist()
+        return [placed[a:b].tobytes() for a, b in zip(bounds, bounds[1:], strict=False)]
+
+
+def _distinct(encoded: pa.DictionaryArray) -> list[bytes]:
+    """The dictionary of words without blanks, joined and split: faster than one by one."""
+    words = encoded.dictionary
+    if not len(words):
+        return []
+    joined = pc.binary_join(pa.ListArray.from_arrays([0, len(words)], words), " ")
+    return joined[0].as_py().encode().split(b" ")
 
 
 def token_pieces(docs: DataFrame, tokenizer: str | Path, capacity: int = CAPACITY) -> DataFrame:
@@ -132,22 +168,20 @@ def token_pieces(docs: DataFrame, tokenizer: str | Path, capacity: int = CAPACIT
                 ["doc_id", "piece", "start", "length", "ids"],
             )
 
-        def portions(batch):
-            texts, doc_ids = batch.column(1).cast(pa.binary()), batch.column(0).to_pylist()
-            split, held, low = [], 0, 0
-            for i, text in enumerate(texts):
-                raw = text.as_py() or b""
-                split.append(raw.split())
-                held += len(raw)
-                if held > BYTES_AT_ONCE:
-                    yield doc_ids[low : i + 1], split
-                    split, held, low = [], 0, i + 1
-            if split:
-                yield doc_ids[low:], split
+        def portions(texts: pa.Array) -> Iterator[slice]:
+            """Rows of ``texts`` that hold about ``BYTES_AT_ONCE``, or one longer text."""
+            ends = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False))
+            low = 0
+            while low < len(ends):
+                before = ends[low - 1] if low else 0
+                high = max(low + 1, int(np.searchsorted(ends, before + BYTES_AT_ONCE, side="right")))
+                yield slice(low, high)
+                low = high
 
         for batch in batches:
-            for doc_ids, split in portions(batch):
-                for doc_id, raw in zip(doc_ids, tokens.ids(split), strict=True):
+            doc_ids, texts = batch.column(0).to_pylist(), batch.column(1)
+            for some in portions(texts):
+                for doc_id, raw in zip(doc_ids[some], tokens.ids(texts[some]), strict=True):
                     raw += end
                     for number, at in enumerate(range(0, len(raw), size)):
                         part = raw[at : at + size]
@@ -185,9 +219,11 @@ class _Sums:
     def __init__(self, counts: np.ndarray):
         self.counts = counts
         self.capacity = len(counts) - 1
+        self.used_up = 0
         self.refresh()
 
     def refresh(self) -> None:
+        self.used_up = 0
         self.lengths = np.flatnonzero(self.counts)
         limit = (1 << (self.capacity + 1)) - 1
         ones = sum(1 << int(n) for n in self.lengths)
@@ -217,6 +253,8 @@ class _Sums:
             for a in sorted(upper.tolist(), key=lambda n: abs(3 * n - gap)):
                 if self.counts[a] > 0 and pairs >> (gap - a) & 1 and (found := self.pair(gap - a, a)):
                     return (a, *found)
+            if self.used_up:
+                self.refresh()
         return None
 
     def longest(self, gap: int) -> int | None:
@@ -235,8 +273,7 @@ def packing_plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[Sl
     used: Counter[int] = Counter()
     slots: list[Slot] = []
     sequence = 0
-    while len(sums.lengths):
-        first = int(sums.lengths[-1])
+    while (first := sums.longest(capacity)) is not None:
         items: Counter[int] = Counter()
         gap, more = capacity, first
         while more is not None:
@@ -259,7 +296,8 @@ def packing_plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[Sl
             used[n] += (again + 1) * k
             offset += n * k
         sequence += again + 1
-        if any(counts[n] == 0 for n in items):
+        sums.used_up += sum(counts[n] == 0 for n in items)
+        if sums.used_up >= REFRESH:
             sums.refresh()
     return slots
 

@@ -5,12 +5,14 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
 from larkspan.llm import decontam, langid, packing, secret_scan, simhash, toxicity
+from larkspan.llm.common import bounded_ids
 from larkspan.llm.ngrams import text_ngrams, word_ngrams
 from larkspan.llm.queries import QUERIES
 from larkspan.sources import table
@@ -40,6 +42,18 @@ def test_ngrams_stay_within_words_and_add_up():
     assert not found[1] and not found[2] and not found[3]
 
 
+def test_bounded_ids_are_those_hashed_lowest(spark):
+    ids = spark.range(5000).select(
+        F.col("id").alias("doc_id"), F.when(F.col("id") % 100 == 0, "b").otherwise("a").alias("lang")
+    )
+    got = bounded_ids(ids, "lang", 80).collect()
+    counts = Counter(r.lang for r in got)
+    assert counts == {"a": 80, "b": 50}
+    order = ids.filter("lang = 'a'").orderBy(F.shiftrightunsigned(F.xxhash64("doc_id"), 1)).limit(80)
+    assert {r.doc_id for r in order.collect()} == {r.doc_id for r in got if r.lang == "a"}
+    assert bounded_ids(ids.limit(0), "lang", 80).count() == 0
+
+
 # --- language ID -----------------------------------------------------------------------
 
 
@@ -201,8 +215,9 @@ def test_word_ids_are_those_of_the_tokenizer(text):
     tokens = packing.WordTokenizer(open(VOCABULARY).read())
     direct = Tokenizer.from_file(VOCABULARY)
     for _ in range(2):
-        got = np.frombuffer(tokens.ids([text.encode().split()])[0], "<u4").tolist()
-        assert got == direct.encode(text, add_special_tokens=False).ids
+        none, ids, empty = tokens.ids(pa.array([None, text, " "]))
+        assert np.frombuffer(ids, "<u4").tolist() == direct.encode(text, add_special_tokens=False).ids
+        assert none == empty == b""
 
 
 @pytest.mark.parametrize(
