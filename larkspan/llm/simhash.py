@@ -268,8 +268,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     linked = distinct.join(roots, F.col("fp") == F.col("node"))
     lowest = linked.groupBy("root").agg(F.min("first").alias("lowest"))
     of_linked = roots.join(lowest, "root").select("node", "lowest")
-    classes = distinct.join(of_linked, F.col("fp") == F.col("node"), "left").select(
-        F.col("fp").alias("of"), F.coalesce("lowest", "first").alias("component_id")
+    classes = stored(
+        distinct.join(of_linked, F.col("fp") == F.col("node"), "left").select(
+            F.col("fp").alias("of"), F.coalesce("lowest", "first").alias("component_id")
+        ),
+        "classes",
     )
     return marked.join(classes, F.col("fp") == F.col("of")).select("doc_id", "fp", "component_id")
 
@@ -281,9 +284,12 @@ def without_near_duplicates(docs: DataFrame) -> DataFrame:
     stays, and only if there are such rows are documents shuffled to find them.
     """
     found = stored(near_duplicates(docs), "components")
-    chosen = found.filter("doc_id = component_id").select(F.col("doc_id").alias("chosen"))
-    kept = docs.join(chosen.distinct(), F.col("doc_id") == F.col("chosen"), "left_semi")
-    repeated = chosen.groupBy("chosen").count().filter("count > 1")
+    name = "_chosen"
+    while name in docs.columns:
+        name += "_"
+    chosen = found.filter("doc_id = component_id").select(F.col("doc_id").alias(name))
+    kept = docs.join(chosen.distinct(), F.col("doc_id") == F.col(name), "left_semi")
+    repeated = chosen.groupBy(name).agg(F.count("*").alias("n")).filter("n > 1")
     if not repeated.isEmpty():
         kept = kept.dropDuplicates(["doc_id"])
     return kept.union(docs.filter("doc_id is null"))
