@@ -295,9 +295,11 @@ def write_bundles(
 def read_bundles(manifest: DataFrame, folder: str) -> DataFrame:
     """All records of the bundles that ``manifest`` names, as ``RECORDS``.
 
-    Bundles are dealt out to the tasks; each is opened by its seek table and unpacked
-    frame by frame.
+    Bundles are dealt out to as many tasks as there are bundles (their names are short, so
+    Spark would otherwise read all in one task); each is opened by its seek table and
+    unpacked frame by frame.
     """
+    bundles = manifest.select("bundle").distinct()
 
     def read(batches):
         filesystem, base = _filesystem(f"{folder}/bundles")
@@ -310,7 +312,7 @@ def read_bundles(manifest: DataFrame, folder: str) -> DataFrame:
                         frame = unpack(file.read(packed), max_output_size=unpacked)
                         yield _batch(list(parse_records(frame)), _RECORD_SCHEMA)
 
-    return manifest.select("bundle").distinct().mapInArrow(read, RECORDS)
+    return bundles.repartition(max(1, bundles.count()), "bundle").mapInArrow(read, RECORDS)
 
 
 def fetch_records(wanted: DataFrame, folder: str) -> DataFrame:
