@@ -25,23 +25,25 @@ def word_ngrams(words: list[str], low: int, high: int, bits: int) -> tuple[np.nd
     chars = np.frombuffer((" " + "  ".join(words) + " ").encode("utf-32-le"), np.uint32)
     lengths = np.fromiter(map(len, words), np.int64) + 2
     owner = np.repeat(np.arange(len(words), dtype=np.int32), lengths)
+    counts = [np.maximum(lengths - n + 1, 0) for n in range(low, high + 1)]
+    starts = np.concatenate([[0], np.cumsum(np.sum(counts, axis=0))])
+    buckets = np.empty(starts[-1], np.int32)
     rolling = np.zeros(len(chars), np.uint64)
-    owners, found = [], []
-    for n in range(1, high + 1):
-        if n > len(chars):
-            break
+    taken = starts[:-1].copy()
+    for n in range(1, min(high, len(chars)) + 1):
         rolling = rolling[: len(chars) - n + 1] * STEP + chars[n - 1 :]
         if n < low:
             continue
-        inside = owner[: len(rolling)] == owner[n - 1 :]
-        hashed = (rolling[inside] ^ (rolling[inside] >> np.uint64(29))) * MIX + np.uint64(n)
+        inside = rolling[owner[: len(rolling)] == owner[n - 1 :]]
+        hashed = (inside ^ (inside >> np.uint64(29))) * MIX + np.uint64(n)
         hashed = (hashed ^ (hashed >> np.uint64(32))) * STEP
-        owners.append(owner[: len(rolling)][inside])
-        found.append((hashed >> np.uint64(64 - bits)).astype(np.int32))
-    owners, buckets = np.concatenate(owners), np.concatenate(found)
-    order = np.argsort(owners, kind="stable")
-    starts = np.concatenate([[0], np.cumsum(np.bincount(owners, minlength=len(words)))])
-    return starts, buckets[order]
+        # The n-grams found are in the order of the words: those of word i go to its range.
+        count = counts[n - low]
+        first = np.cumsum(count) - count
+        at = np.arange(len(inside)) + np.repeat(taken - first, count)
+        buckets[at] = (hashed >> np.uint64(64 - bits)).astype(np.int32)
+        taken += count
+    return starts, buckets
 
 
 def _portions(texts: list[str | None], distinct: bool) -> Iterator[list[tuple[int, list[str]]]]:

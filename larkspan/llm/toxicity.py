@@ -1,6 +1,6 @@
 """Toxicity by a linear classifier on character n-grams, scaled by naive Bayes ratios.
 
-Features are the hashed 3- to 6-grams within a text's words, each present or not. Their
+Features are the hashed 4- to 9-grams within a text's words, each present or not. Their
 naive Bayes log-count ratios r come from all labelled texts. A logistic regression on the
 features scaled by r is then fitted on a bounded sample. Only the ``features`` n-grams
 that tell the labels apart best (chi-squared) carry weight, so the model has a fixed size.
@@ -25,7 +25,8 @@ from pyspark.sql import functions as F
 from larkspan.llm.common import bounded_ids
 from larkspan.llm.ngrams import text_ngrams
 
-LOW, HIGH, BITS = 3, 6, 18
+LOW, HIGH, BITS = 4, 9, 18
+PENALTY = 3.0
 ALL = -1  # the bucket under which texts are counted
 
 
@@ -39,16 +40,27 @@ class Model:
 
 
 def _sets(texts: list, keep: np.ndarray | None = None) -> Iterator[np.ndarray]:
-    """The distinct buckets of each text."""
+    """The distinct buckets of each text, in order."""
     parts: list[np.ndarray] = []
     last = 0
+    marks = np.zeros(1 << BITS, bool)
+
+    def distinct() -> np.ndarray:
+        buckets = np.concatenate(parts)
+        if len(buckets) < 500:
+            return np.unique(buckets)
+        marks[buckets] = True
+        found = np.flatnonzero(marks).astype(np.int32)
+        marks[found] = False
+        return found
+
     for i, buckets in text_ngrams(texts, LOW, HIGH, BITS, distinct=True, keep=keep):
         if i != last:
-            yield np.unique(np.concatenate(parts))
+            yield distinct()
             parts, last = [], i
         parts.append(buckets)
     if parts:
-        yield np.unique(np.concatenate(parts))
+        yield distinct()
 
 
 def ngram_counts(labelled: DataFrame) -> DataFrame:
@@ -95,7 +107,11 @@ def select_features(counts: DataFrame, pos: int, neg: int, features: int) -> Dat
 
 
 def _fit(rows: list[np.ndarray], labels: np.ndarray, weights: np.ndarray, ratios: np.ndarray):
-    """Weighted logistic regression with an L2 penalty, by gradient steps of Adam."""
+    """Weighted logistic regression with an L2 penalty, by gradient steps of Adam.
+
+    The loss is a mean, so the penalty falls with the number of texts.
+    """
+    penalty = PENALTY / max(1, len(rows))
     row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     col = np.concatenate(rows) if rows else np.zeros(0, np.int64)
     value = ratios[col]
@@ -105,7 +121,7 @@ def _fit(rows: list[np.ndarray], labels: np.ndarray, weights: np.ndarray, ratios
     for step in range(1, 301):
         z = bias + np.bincount(row, theta[col] * value, minlength=len(rows))
         error = weights * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels)
-        grad = np.bincount(col, error[row] * value, minlength=len(ratios)) + 1e-4 * theta
+        grad = np.bincount(col, error[row] * value, minlength=len(ratios)) + penalty * theta
         grad = np.append(grad, error.sum())
         mean = 0.9 * mean + 0.1 * grad
         square = 0.999 * square + 0.001 * grad**2
