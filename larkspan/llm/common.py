@@ -82,11 +82,17 @@ def bounded_ids(ids: DataFrame, label: str, per_label: int) -> DataFrame:
     """At most ``per_label`` rows of each label: those whose hashed ``doc_id`` is lowest.
 
     The choice depends on the ids alone, so a repeated run or task takes the same rows.
-    Every task keeps only its own lowest rows before the shuffle.
+    Of a frequent label only ids hashed into the lowest share, which holds about twice
+    ``per_label`` of them, are shuffled and ranked.
     """
-    order = Window.partitionBy(label).orderBy(F.xxhash64("doc_id"), "doc_id")
+    share = F.shiftrightunsigned(F.xxhash64("doc_id"), 1) / float(1 << 63)
+    counts = ids.groupBy(F.col(label).alias("_of")).agg((2.0 * per_label / F.count("*")).alias("_share"))
+    order = Window.partitionBy(label).orderBy("_hash", "doc_id")
     return (
-        ids.withColumn("_rank", F.row_number().over(order))
+        ids.withColumn("_hash", share)
+        .join(counts, F.col(label) == F.col("_of"))
+        .filter(F.col("_hash") <= F.col("_share"))
+        .withColumn("_rank", F.row_number().over(order))
         .filter(F.col("_rank") <= per_label)
-        .drop("_rank")
+        .select(ids.columns)
     )
