@@ -1,7 +1,7 @@
 """Benchmark decontamination by pigeonhole edit matching.
 
 Texts and test items are compared as words (runs of letters, digits and ``_`` in lower
-case). An item of m words may occur with k = floor(m / 5) word edits. Split into k + 1
+case; where a script has no blanks, each code point is a word). An item of m words may occur with k = floor(m / 5) word edits. Split into k + 1
 pieces, at least one piece of any such occurrence is untouched, so all exact hits of
 pieces are looked up with one automaton, and around each hit the item is verified by
 Myers' bit-parallel edit distance.
@@ -9,8 +9,7 @@ Myers' bit-parallel edit distance.
 The items are a stated query set. They are sent to the tasks in blocks of at most
 ``block_bytes`` of text; further blocks are further passes over the documents.
 
-Defined cases: a null item or id, and an item of under ``MIN_WORDS`` words, which could
-not show a leak, are left out; a null or empty text has no match; repeated rows and
+Defined cases: a null item or id, and an item of under ``MIN_WORDS`` words, are left out; a null or empty text has no match; repeated rows and
 repeated items each give their matches; of several places of an item in a text the
 nearest, then the first, is given; no items or no documents give no match. Other
 columns are ignored or, in ``without_contaminated``, kept.
@@ -32,6 +31,13 @@ from pyspark.sql import functions as F
 from larkspan.llm.common import stored
 
 WORD = re.compile(r"\w+")
+# Thai and Lao, Myanmar, Khmer, kana, Bopomofo and Han: scripts that set no blanks between words.
+UNSPACED = (
+    "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3040-\u312f\u31a0-\u31bf\u31f0-\u31ff"
+    "\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff"
+)
+HAS_UNSPACED = re.compile(f"[{UNSPACED}]")
+MIXED_WORD = re.compile(rf"[^\W{UNSPACED}]+|(?=\w)[{UNSPACED}]")
 MIN_WORDS, EDITS_IN = 5, 5
 MATCHES = "array<struct<item_id:bigint,distance:int,words:int,start:bigint,end:bigint>>"
 _MATCHES = pa.list_(
@@ -48,7 +54,8 @@ _MATCHES = pa.list_(
 
 
 def words_of(text: str | None) -> list[str]:
-    return WORD.findall((text or "").lower())
+    lower = (text or "").lower()
+    return (MIXED_WORD if HAS_UNSPACED.search(lower) else WORD).findall(lower)
 
 
 def pieces(words: list[str], edits: int) -> list[tuple[int, list[str]]]:

@@ -343,6 +343,23 @@ def test_masks_are_those_within_the_budget():
         assert {m for m, _ in simhash._masks(bits)} == want
 
 
+def test_benchmark_items_of_scripts_without_blanks(spark):
+    """A question of two runs of letters is found whole and with an edit, and its document dropped."""
+    item = "日本で一番高い山は何ですか。富士山です"
+    texts = [
+        (1, f"前の文。{item}。次の文"),
+        (2, "日本で一番高い峰は何ですか。富士山です"),
+        (3, "日本の山"),
+        (4, "ประเทศไทย กรุงเทพ"),
+        (5, "one two three"),
+    ]
+    docs = spark.createDataFrame(texts, "doc_id bigint, text string")
+    bench = spark.createDataFrame([(7, item), (8, "กรุงเทพ")], "item_id bigint, text string")
+    found = decontam.contaminated(docs, bench).collect()
+    assert {(r.doc_id, r.item_id, r.distance) for r in found} == {(1, 7, 0), (2, 7, 1), (4, 8, 0)}
+    assert sorted(r.doc_id for r in decontam.without_contaminated(docs, bench).collect()) == [3, 5]
+
+
 def test_benchmark_in_blocks_drops_the_same_rows(spark):
     docs = table(spark, SMALL, "documents")
     bench = table(spark, SMALL, "benchmark")
