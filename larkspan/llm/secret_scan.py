@@ -5,7 +5,9 @@ parsed into pairs of a name and the literals that it is given: assignments, mapp
 entries, command-line flags and elements of mark-up. A name that is given another name
 takes that one's literals (constants are propagated, in the order of the text), and a sum
 of literals counts as one. A literal is scored by the words of every name that it reaches
-and by its own form; from ``THRESHOLD`` on it is a span of kind ``literal``.
+and by its own form; from ``THRESHOLD`` on it is a span of kind ``literal``. White space in a
+literal speaks against it, unless it is a block of a key, or is quoted (or an element's value)
+under a name of ``STRONG`` or more. Names and literals may be of any length.
 
 Positions are code points, end exclusive. Defined cases: a null text is empty; repeated
 rows are scanned each; no match gives an empty list; an empty table gives no row. Other
@@ -46,15 +48,19 @@ NAME_WORDS = {
 PLACEHOLDER = re.compile(
     r"(?i)example|changeme|change_me|placeholder|dummy|your[_-]|todo|xxxx|\*\*\*|\.\.\.|^<|\$\{|\{\{|^(?:true|false|null|none)$"
 )
-THRESHOLD = 4.0
+THRESHOLD, STRONG = 4.0, 3.0
+KEY_BLOCK = re.compile(r"\s*+(?:-----BEGIN |(?:[A-Za-z0-9+/=_\-]{16,}+\s++)++[A-Za-z0-9+/=_\-]*+\s*+\Z)")
 
 PAIR = re.compile(
-    r"""(?<![\w.\-])(?P<q>["'`]?)(?P<name>[A-Za-z_][\w.\-]{0,99}+)(?P=q)\]?[ \t]*+"""
+    r"""(?<![\w.\-])(?P<q>["'`]?)(?P<name>[A-Za-z_][\w.\-]*+)(?P=q)\]?[ \t]*+"""
     r"""(?::=|=>|=(?!=)|:(?![:/]))[ \t]*+(?=\S)"""
 )
-FLAG = re.compile(r"(?<!\S)--(?P<name>[A-Za-z][\w\-]{0,99}+)[ \t]++(?=[^\s\-])")
-ELEMENT = re.compile(r"<(?P<name>[A-Za-z_][\w.\-]{0,99}+)>(?P<value>[^<>\s]{1,4096})</(?P=name)>")
-STRING = re.compile(r"""[rbufRBUF]{0,2}(?:"(?P<d>(?:[^"\\\n]|\\.)*)"|'(?P<s>(?:[^'\\\n]|\\.)*)'|`(?P<b>[^`\n]*)`)""")
+FLAG = re.compile(r"(?<!\S)--(?P<name>[A-Za-z][\w\-]*+)[ \t]++(?=[^\s\-])")
+ELEMENT = re.compile(r"<(?P<name>[A-Za-z_][\w.\-]*+)>\s*+(?P<value>[^<>\s]++(?:\s++[^<>\s]++)*+)\s*+</(?P=name)>")
+STRING = re.compile(
+    r"""[rbufRBUF]{0,2}(?:\"{3}(?P<dd>(?:[^"\\]|\\[\s\S]|"(?!""))*+)"{3}|'{3}(?P<ss>(?:[^'\\]|\\[\s\S]|'(?!''))*+)'{3}"""
+    r"""|"(?P<d>(?:[^"\\\n]|\\.)*)"|'(?P<s>(?:[^'\\\n]|\\.)*)'|`(?P<b>[^`]*+)`)"""
+)
 BARE = re.compile(r"""[^\s,;(){}\[\]<>"'`]+""")
 JOIN = re.compile(r"[ \t]*\+\s*")
 ARGUMENT = re.compile(r"[\s,]*")
@@ -77,12 +83,15 @@ def base_spans(text: str) -> list[tuple[int, str, int, int]]:
     return found
 
 
-def _atom(text: str, at: int) -> tuple[list[tuple[int, int]], str | None, int]:
-    """(literal spans, name, end) of the operand at ``at``."""
+def _atom(text: str, at: int) -> tuple[list[tuple[int, int, bool]], str | None, int]:
+    """(literal spans, name, end) of the operand at ``at``.
+
+    A span is (start, end, whether it is the operand itself in quotes).
+    """
     m = STRING.match(text, at)
     if m:
         group = m.lastgroup
-        return [m.span(group)], None, m.end()
+        return [(*m.span(group), True)], None, m.end()
     m = BARE.match(text, at)
     if not m:
         return [], None, at
@@ -90,13 +99,13 @@ def _atom(text: str, at: int) -> tuple[list[tuple[int, int]], str | None, int]:
         # A call: its literal arguments, but not the name that an environment is asked for.
         spans, end = [], m.end() + 1
         while s := STRING.match(text, ARGUMENT.match(text, end).end()):
-            spans.append(s.span(s.lastgroup))
+            spans.append((*s.span(s.lastgroup), False))
             end = s.end()
         return (spans[1:] if "env" in m[0].lower() else spans), None, end
-    return [m.span()], m[0], m.end()
+    return [(*m.span(), False)], m[0], m.end()
 
 
-def pairs(text: str) -> Iterator[tuple[str, list[tuple[int, int]]]]:
+def pairs(text: str) -> Iterator[tuple[str, list[tuple[int, int, bool]]]]:
     """(name, literal spans) of the statements of ``text``, constants propagated."""
     found = []
     if "=" in text or ":" in text:
@@ -105,10 +114,10 @@ def pairs(text: str) -> Iterator[tuple[str, list[tuple[int, int]]]]:
         found += [(m.start(), m["name"], m.end(), None) for m in FLAG.finditer(text)]
     if "</" in text:
         found += [(m.start(), m["name"], m.end(), m.span("value")) for m in ELEMENT.finditer(text)]
-    constants: dict[str, list[tuple[int, int]]] = {}
+    constants: dict[str, list[tuple[int, int, bool]]] = {}
     for _, name, at, value in sorted(found, key=lambda x: x[0]):
         if value:
-            spans, end = [value], at
+            spans, end = [(*value, True)], at
         else:
             spans, source, end = _atom(text, at)
             if source in constants:
@@ -127,8 +136,10 @@ def name_score(name: str) -> float:
     return float(sum(NAME_WORDS.get(w, 0) for w in words) + sum(3 for w in ("apikey",) if w in joined))
 
 
-def literal_score(value: str) -> float:
-    if len(value) < 8 or any(c.isspace() for c in value) or PLACEHOLDER.search(value):
+def literal_score(value: str, may_be_spaced: bool = False) -> float:
+    if len(value) < 8 or PLACEHOLDER.search(value):
+        return -9.0
+    if not may_be_spaced and any(c.isspace() for c in value) and not KEY_BLOCK.match(value):
         return -9.0
     counts = Counter(value)
     entropy = -sum(n / len(value) * math.log2(n / len(value)) for n in counts.values())
@@ -144,10 +155,11 @@ def literal_spans(text: str) -> list[tuple[int, str, int, int]]:
     for name, spans in pairs(text):
         score = name_score(name)
         if score > 0:
-            total = score + literal_score("".join(text[a:b] for a, b in spans))
-            for span in spans:
-                if span[0] < span[1]:
-                    best[span] = max(total, best.get(span, total))
+            spaced = score >= STRONG and all(quoted for _, _, quoted in spans)
+            total = score + literal_score("".join(text[a:b] for a, b, _ in spans), spaced)
+            for a, b, _ in spans:
+                if a < b:
+                    best[a, b] = max(total, best.get((a, b), total))
     return [(a, "literal", b, a) for (a, b), score in best.items() if score >= THRESHOLD]
 
 
