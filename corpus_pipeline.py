@@ -4,9 +4,8 @@
 each to all that its predecessor kept, written as a table in the shared folder and read
 again. All but the last return the columns of the documents.
 
-Defined cases: a null text is clean and has no secret; rows with a null ``doc_id`` are kept
-by the duplicate stage, since no id names their group; of rows that repeat the id that
-stands for a group one stays; columns beyond those of the documents are passed on; empty
+Defined cases: a null text is clean and has no secret; the duplicate stage keeps one row of
+each group, also where ids are null or repeated; columns beyond those of the documents are passed on; empty
 documents give an empty result.
 """
 

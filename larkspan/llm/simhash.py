@@ -73,6 +73,17 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     )
 
 
+def fingerprint_of(text: Column) -> Column:
+    """The fingerprint of each text, as a bigint."""
+
+    @F.arrow_udf("bigint")
+    def compute(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            yield pa.array([fingerprint(t) for t in texts.cast(pa.binary()).to_pylist()], pa.int64())
+
+    return compute(text)
+
+
 class _Forest:
     """Components of nodes 0..n-1 under links that come in portions."""
 
@@ -256,8 +267,8 @@ def hamming_links(distinct: DataFrame, aim: int = AIM, most: int = MOST) -> Data
     return edges.select(back("a").alias("a"), back("b").alias("b"))
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """``doc_id, fp, component_id`` of each row of ``docs``.
+def _components(docs: DataFrame) -> DataFrame:
+    """``doc_id, fp, component_id`` of each row of ``docs``, and ``root``, a fingerprint of its component.
 
     A fingerprint that very many copies share is met once by the join of tries, which
     sees distinct fingerprints only, and is the hot key of a plain join at the end.
@@ -267,29 +278,48 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     roots = stored(connected_components(hamming_links(distinct)), "roots")
     linked = distinct.join(roots, F.col("fp") == F.col("node"))
     lowest = linked.groupBy("root").agg(F.min("first").alias("lowest"))
-    of_linked = roots.join(lowest, "root").select("node", "lowest")
+    of_linked = roots.join(lowest, "root").select("node", "lowest", "root")
     classes = stored(
         distinct.join(of_linked, F.col("fp") == F.col("node"), "left").select(
-            F.col("fp").alias("of"), F.coalesce("lowest", "first").alias("component_id")
+            F.col("fp").alias("of"),
+            F.coalesce("lowest", "first").alias("component_id"),
+            F.coalesce("root", "fp").alias("root"),
         ),
         "classes",
     )
-    return marked.join(classes, F.col("fp") == F.col("of")).select("doc_id", "fp", "component_id")
+    return marked.join(classes, F.col("fp") == F.col("of")).select("doc_id", "fp", "component_id", "root")
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """``doc_id, fp, component_id`` of each row of ``docs``."""
+    return _components(docs).drop("root")
 
 
 def without_near_duplicates(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stand for their component: those with its smallest id.
+    """One row of ``docs`` for each component: that of the smallest id, or of the null id if it has no other.
 
-    Rows with a null id stay, as no id names their group; of rows that repeat an id one
-    stays, and only if there are such rows are documents shuffled to find them.
+    Where the id alone does not name that row, since it is null or other rows have it too,
+    the row's fingerprint does. Only if there are such rows are fingerprints computed anew,
+    for these rows, and documents shuffled.
     """
-    found = stored(near_duplicates(docs), "components")
+    found = stored(_components(docs), "components")
     name = "_chosen"
-    while name in docs.columns:
+    while any(column.lower().startswith(name) for column in docs.columns):
         name += "_"
-    chosen = found.filter("doc_id = component_id").select(F.col("doc_id").alias(name))
-    kept = docs.join(chosen.distinct(), F.col("doc_id") == F.col(name), "left_semi")
-    repeated = chosen.groupBy(name).agg(F.count("*").alias("n")).filter("n > 1")
-    if not repeated.isEmpty():
-        kept = kept.dropDuplicates(["doc_id"])
-    return kept.union(docs.filter("doc_id is null"))
+    own_fp, chosen_fp = f"{name}_own_fp", f"{name}_fp"
+    of_chosen = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    chosen = stored(
+        of_chosen.groupBy("root", F.col("doc_id").alias(name)).agg(F.min("fp").alias(chosen_fp)).drop("root"),
+        "chosen",
+    )
+    times = found.groupBy(F.col("doc_id").alias("id")).agg(F.count("*").alias("n"))
+    unclear = stored(times.filter("n > 1 or id is null").select("id"), "unclear")
+    if unclear.isEmpty():
+        return docs.join(chosen, F.col("doc_id") == F.col(name), "left_semi")
+    single = chosen.join(unclear, F.col(name).eqNullSafe(F.col("id")), "left_anti")
+    kept = docs.join(single, F.col("doc_id") == F.col(name), "left_semi")
+    others = docs.alias("d").join(unclear.alias("u"), F.col("d.doc_id").eqNullSafe(F.col("u.id")), "left_semi")
+    others = others.withColumn(own_fp, fingerprint_of(F.col("text")))
+    same = F.col("doc_id").eqNullSafe(F.col(name)) & (F.col(own_fp) == F.col(chosen_fp))
+    others = others.join(chosen, same, "left_semi").dropDuplicates(["doc_id", own_fp])
+    return kept.union(others.select(docs.columns))

@@ -356,6 +356,19 @@ def test_tries_find_all_components(spark, aim, most):
     )
 
 
+def test_one_row_stays_for_each_component_whatever_its_id(spark):
+    """Repeated and null ids: a document is neither lost with another of its id nor kept for it."""
+    a, b, c, d, e = (" ".join(f"{x}{i * i % 97}" for i in range(60)) for x in "abcde")
+    rows = [(1, a), (1, b), (2, c), (5, c), (5, d), (None, c), (None, e), (None, e), (7, a), (8, b), (2, c)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").selectExpr("*", "1L as fp", "'x' as _chosen")
+    kept = simhash.without_near_duplicates(docs.repartition(3))
+    assert kept.columns == docs.columns
+    order = lambda rows: sorted(rows, key=str)
+    assert order((r.doc_id, r.text) for r in kept.collect()) == order([(1, a), (1, b), (2, c), (5, d), (None, e)])
+    single = simhash.without_near_duplicates(docs.filter("doc_id > 5"))
+    assert order((r.doc_id, r.text) for r in single.collect()) == order([(7, a), (8, b)])
+
+
 def test_components_of_a_long_path_and_a_star(spark):
     path = [(i, i + 1) for i in range(100, 160)]
     star = [(i, 1000) for i in range(1001, 1400)]
