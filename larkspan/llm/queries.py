@@ -7,12 +7,15 @@ from pyspark.sql import functions as F
 from public_tokenizers import path as tokenizer_path
 
 from larkspan.llm import (
+    bpe,
     chat,
     decontam,
+    divergence,
     langid,
     licenses,
     packing,
     quality,
+    resampling,
     secret_scan,
     simhash,
     toxicity,
@@ -119,6 +122,30 @@ def op7_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergence(table(spark, sf_dir, "documents"))
+
+
+def op12_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text encoded, and the ids decoded."""
+    vocabulary = tokenizer_path("word_bpe_49k.json")
+    encoded = table(spark, sf_dir, "documents").select(
+        "doc_id", bpe.encode(F.col("text"), vocabulary).alias("ids")
+    )
+    digits = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return encoded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(digits, 256).alias("ids_sha256"),
+        F.sha2(bpe.decode(F.col("ids"), vocabulary), 256).alias("decoded_sha256"),
+    )
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, target = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    return resampling.importance_resampling(docs, target)
+
+
 CHAT_SQL = """
 WITH turns AS (
   SELECT conv_id, turn, coalesce(role, 'unknown') AS role,
@@ -172,6 +199,9 @@ OPERATORS = (
     op8_license_scan,
     op9_toxicity,
     op10_decontamination,
+    op11_source_divergence,
+    op12_bpe_round_trip,
+    op13_importance_resampling,
 )
 
 QUERIES = {query.__name__: with_package(query) for query in OPERATORS}
@@ -180,4 +210,6 @@ ORACLES = {
     "op1_quality_rules": quality.QUALITY_SQL.format(min_rows=200, fence=4),
     "op6_chat_rotation": CHAT_SQL,
     "op7_warc_bundles": WARC_SQL,
+    "op11_source_divergence": divergence.DIVERGENCE_SQL,
+    "op13_importance_resampling": resampling.RESAMPLING_SQL,
 }

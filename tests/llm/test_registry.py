@@ -13,7 +13,7 @@ REPO = Path(__file__).resolve().parents[2]
 
 
 def test_one_query_for_each_operator():
-    assert sorted(int(name[2:].split("_")[0]) for name in QUERIES) == list(range(1, 11))
+    assert sorted(int(name[2:].split("_")[0]) for name in QUERIES) == list(range(1, 14))
     assert ORACLES.keys() <= QUERIES.keys()
     assert {*QUERIES, "pipeline"} <= __spark_entry__.queries().keys()
 
