@@ -4,8 +4,10 @@ Three fixed patterns are found everywhere. Beyond them, source and configuration
 parsed into pairs of a name and the literals that it is given: assignments, mapping
 entries, command-line flags and elements of mark-up. A name that is given another name
 takes that one's literals (constants are propagated, in the order of the text), and a sum
-of literals counts as one. A literal is scored by the words of every name that it reaches
-and by its own form; from ``THRESHOLD`` on it is a span of kind ``literal``. White space in a
+of literals counts as one. Values are shared: a sum refers to its two parts, and what a
+score needs of the whole is summed up from them, so `b = a + a` never copies or lists the
+literals of `a`. Time and memory grow with the text, times the distinct characters of a
+literal. A literal is scored by the words of every name that it reaches and by its own form; from ``THRESHOLD`` on it is a span of kind ``literal``. White space in a
 literal speaks against it, unless it is a block of a key, or is quoted (or an element's value)
 under a name of ``STRONG`` or more. Names and literals may be of any length.
 
@@ -19,7 +21,8 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import Column
@@ -46,10 +49,14 @@ NAME_WORDS = {
     "hint": -3, "label": -3, "field": -2, "format": -3, "policy": -3, "expires": -3,
 }
 PLACEHOLDER = re.compile(
-    r"(?i)example|changeme|change_me|placeholder|dummy|your[_-]|todo|xxxx|\*\*\*|\.\.\.|^<|\$\{|\{\{|^(?:true|false|null|none)$"
+    r"(?i)example|changeme|change_me|placeholder|dummy|your[_-]|todo|xxxx|\*\*\*|\.\.\.|\$\{|\{\{"
 )
 THRESHOLD, STRONG = 4.0, 3.0
-KEY_BLOCK = re.compile(r"\s*+(?:-----BEGIN |(?:[A-Za-z0-9+/=_\-]{16,}+\s++)++[A-Za-z0-9+/=_\-]*+\s*+\Z)")
+# A block of a key: this line, or words of its characters of which all but the last have 16 or more.
+KEY_LINE, KEY_WORD = "-----BEGIN ", 16
+NO_KEY = re.compile(r"[^A-Za-z0-9+/=_\-\s]")
+# The longest placeholder and the key's line are of as many characters.
+EDGE = 11
 
 PAIR = re.compile(
     r"""(?<![\w.\-])(?P<q>["'`]?)(?P<name>[A-Za-z_][\w.\-]*+)(?P=q)\]?[ \t]*+"""
@@ -105,8 +112,81 @@ def _atom(text: str, at: int) -> tuple[list[tuple[int, int, bool]], str | None,
     return [(*m.span(), False)], m[0], m.end()
 
 
-def pairs(text: str) -> Iterator[tuple[str, list[tuple[int, int, bool]]]]:
-    """(name, literal spans) of the statements of ``text``, constants propagated."""
+@dataclass(slots=True)
+class Value:
+    """What a name holds: one literal, or two other values side by side.
+
+    The rest is what scoring needs to know of the literals put together: their ``length``
+    and characters, whether all are ``quoted``, blanks, placeholders, both edges, and the
+    ``words`` between blanks by length (``KEY_WORD`` at most; of those between the first and
+    the last only the shortest). ``best`` is the highest score of a name that it reaches.
+    """
+
+    span: tuple[int, int] | None
+    parts: tuple[Value, ...]
+    quoted: bool
+    length: int
+    counts: Counter
+    placeholder: bool
+    prefix: str
+    suffix: str
+    head: str
+    spaced: tuple[bool, bool, bool]  # at the start, anywhere, at the end
+    other: bool
+    words: tuple[int, ...]
+    best: float = -math.inf
+
+
+def literal(text: str, a: int, b: int, quoted: bool) -> Value:
+    value = text[a:b]
+    return Value(
+        (a, b),
+        (),
+        quoted,
+        len(value),
+        Counter(value),
+        PLACEHOLDER.search(value) is not None,
+        value[:EDGE],
+        value[-EDGE:],
+        value.lstrip()[:EDGE],
+        (value[:1].isspace(), any(map(str.isspace, value)), value[-1:].isspace()),
+        NO_KEY.search(value) is not None,
+        _shortest([min(len(w), KEY_WORD) for w in value.split()]),
+    )
+
+
+def _shortest(words: Sequence[int]) -> tuple[int, ...]:
+    return (words[0], min(words[1:-1]), words[-1]) if len(words) > 3 else tuple(words)
+
+
+def joined(a: Value, b: Value) -> Value:
+    apart = a.spaced[2] or b.spaced[0]
+    if apart or not (a.words and b.words):
+        words = a.words + b.words
+    else:
+        words = (*a.words[:-1], min(KEY_WORD, a.words[-1] + b.words[0]), *b.words[1:])
+    return Value(
+        None,
+        (a, b),
+        a.quoted and b.quoted,
+        a.length + b.length,
+        a.counts + b.counts,
+        a.placeholder or b.placeholder or PLACEHOLDER.search(a.suffix + b.prefix) is not None,
+        (a.prefix + b.prefix)[:EDGE],
+        (a.suffix + b.suffix)[-EDGE:],
+        (a.head + b.prefix)[:EDGE] if a.head else b.head,
+        (
+            a.spaced[0] if a.length else b.spaced[0],
+            a.spaced[1] or b.spaced[1],
+            b.spaced[2] if b.length else a.spaced[2],
+        ),
+        a.other or b.other,
+        _shortest(words),
+    )
+
+
+def statements(text: str) -> Iterator[tuple[str, Value, list[Value]]]:
+    """(name, value, values made for it) of the statements of ``text``, constants propagated."""
     found = []
     if "=" in text or ":" in text:
         found += [(m.start(), m["name"], m.end(), None) for m in PAIR.finditer(text)]
@@ -114,20 +194,33 @@ def pairs(text: str) -> Iterator[tuple[str, list[tuple[int, int, bool]]]]:
         found += [(m.start(), m["name"], m.end(), None) for m in FLAG.finditer(text)]
     if "</" in text:
         found += [(m.start(), m["name"], m.end(), m.span("value")) for m in ELEMENT.finditer(text)]
-    constants: dict[str, list[tuple[int, int, bool]]] = {}
-    for _, name, at, value in sorted(found, key=lambda x: x[0]):
-        if value:
-            spans, end = [(*value, True)], at
+    constants: dict[str, Value] = {}
+    for _, name, at, element in sorted(found, key=lambda x: x[0]):
+        new: list[Value] = []
+
+        def put_together(spans, value=None, new=new):
+            for a, b, quoted in spans:
+                new.append(literal(text, a, b, quoted))
+                if value is not None:
+                    new.append(joined(value, new[-1]))
+                value = new[-1]
+            return value
+
+        if element:
+            value = put_together([(*element, True)])
         else:
             spans, source, end = _atom(text, at)
-            if source in constants:
-                spans = constants[source]
-            while spans and (joined := JOIN.match(text, end)):
-                more, source, end = _atom(text, joined.end())
-                spans = spans + (constants.get(source, more) if source else more)
-        if spans:
-            constants[name] = spans
-            yield name, spans
+            value = constants[source] if source in constants else put_together(spans)
+            while value is not None and (plus := JOIN.match(text, end)):
+                spans, source, end = _atom(text, plus.end())
+                if source in constants:
+                    value = joined(value, constants[source])
+                    new.append(value)
+                else:
+                    value = put_together(spans, value)
+        if value is not None:
+            constants[name] = value
+            yield name, value, new
 
 
 def name_score(name: str) -> float:
@@ -136,30 +229,45 @@ def name_score(name: str) -> float:
     return float(sum(NAME_WORDS.get(w, 0) for w in words) + sum(3 for w in ("apikey",) if w in joined))
 
 
-def literal_score(value: str, may_be_spaced: bool = False) -> float:
-    if len(value) < 8 or PLACEHOLDER.search(value):
+def is_key_block(value: Value) -> bool:
+    if value.head == KEY_LINE:
+        return True
+    words = value.words
+    if value.other or not words or min(words[:-1], default=KEY_WORD) < KEY_WORD:
+        return False
+    return len(words) > 1 or (words[0] == KEY_WORD and value.spaced[2])
+
+
+def literal_score(value: Value, may_be_spaced: bool = False) -> float:
+    if value.length < 8 or value.placeholder or value.prefix.startswith("<"):
         return -9.0
-    if not may_be_spaced and any(c.isspace() for c in value) and not KEY_BLOCK.match(value):
+    if not may_be_spaced and value.spaced[1] and not is_key_block(value):
         return -9.0
-    counts = Counter(value)
-    entropy = -sum(n / len(value) * math.log2(n / len(value)) for n in counts.values())
+    shares = [n / value.length for n in value.counts.values()]
+    entropy = -sum(x * math.log2(x) for x in shares if x)
     kinds = sum(
-        any(test(c) for c in counts)
+        any(test(c) for c in value.counts)
         for test in (str.islower, str.isupper, str.isdigit, lambda c: not c.isalnum())
     )
-    return (kinds >= 2) + (entropy >= 3.0) + (len(value) >= 20) - (kinds == 1 and value.isalpha()) * 2.0
+    only_letters = kinds == 1 and all(map(str.isalpha, value.counts))
+    return (kinds >= 2) + (entropy >= 3.0) + (value.length >= 20) - only_letters * 2.0
 
 
 def literal_spans(text: str) -> list[tuple[int, str, int, int]]:
-    best: dict[tuple[int, int], float] = {}
-    for name, spans in pairs(text):
+    values: list[Value] = []
+    for name, value, new in statements(text):
+        values += new
         score = name_score(name)
         if score > 0:
-            spaced = score >= STRONG and all(quoted for _, _, quoted in spans)
-            total = score + literal_score("".join(text[a:b] for a, b, _ in spans), spaced)
-            for a, b, _ in spans:
-                if a < b:
-                    best[a, b] = max(total, best.get((a, b), total))
+            spaced = score >= STRONG and value.quoted
+            value.best = max(value.best, score + literal_score(value, spaced))
+    best: dict[tuple[int, int], float] = {}
+    # A value is made after its parts, so backwards each has its score before it passes it on.
+    for value in reversed(values):
+        for part in value.parts:
+            part.best = max(part.best, value.best)
+        if value.span and value.span[0] < value.span[1]:
+            best[value.span] = max(value.best, best.get(value.span, value.best))
     return [(a, "literal", b, a) for (a, b), score in best.items() if score >= THRESHOLD]
 
 

@@ -1,8 +1,11 @@
 """Secret, license and benchmark scans, and SimHash, against brute force and on odd rows."""
 
 import hashlib
+import math
 import random
 import re
+import time
+import tracemalloc
 from itertools import combinations
 
 import numpy as np
@@ -125,6 +128,87 @@ def test_secret_literals_of_any_length_and_with_blanks(text, want):
     assert not any(w in clean for w in want)
 
 
+WHOLE_PLACEHOLDER = re.compile(
+    r"(?i)example|changeme|change_me|placeholder|dummy|your[_-]|todo|xxxx|\*\*\*|\.\.\.|^<|\$\{|\{\{"
+)
+WHOLE_KEY = re.compile(r"\s*+(?:-----BEGIN |(?:[A-Za-z0-9+/=_\-]{16,}+\s++)++[A-Za-z0-9+/=_\-]*+\s*+\Z)")
+
+
+def score_of_whole(value, may_be_spaced):
+    """The score of a literal that is written out."""
+    if len(value) < 8 or WHOLE_PLACEHOLDER.search(value):
+        return -9.0
+    if not may_be_spaced and any(map(str.isspace, value)) and not WHOLE_KEY.match(value):
+        return -9.0
+    entropy = -sum(value.count(c) / len(value) * math.log2(value.count(c) / len(value)) for c in set(value))
+    kinds = sum(any(map(t, value)) for t in (str.islower, str.isupper, str.isdigit, lambda c: not c.isalnum()))
+    return (kinds >= 2) + (entropy >= 3.0) + (len(value) >= 20) - (kinds == 1 and value.isalpha()) * 2.0
+
+
+def literals_by_definition(program):
+    """program: (name, operands), an operand is ("name", x) or ("text", literal); every sum is
+    written out as the list of its literals."""
+    held, best = {}, {}
+    for line, (name, operands) in enumerate(program):
+        parts = []
+        for at, (kind, x) in enumerate(operands):
+            if kind == "text":
+                parts.append(((line, at), x, True))
+            elif x in held:
+                parts += held[x]
+            else:
+                parts.append(((line, at), x, False))
+        held[name] = parts
+        score = secret_scan.name_score(name)
+        if score > 0:
+            spaced = score >= secret_scan.STRONG and all(quoted for *_, quoted in parts)
+            score += score_of_whole("".join(x for _, x, _ in parts), spaced)
+            for place, x, _ in parts:
+                if x:
+                    best[place] = max(score, best.get(place, score))
+    return {place for place, score in best.items() if score >= secret_scan.THRESHOLD}
+
+
+TEXTS = ["Zx9K", "q2Lm", "pass phrase ", "MIIEowIBAAKCAQEA7bq9", " Zk3T8Yw2LfQm5RtVn0Jc ", "exam", "ple", "", "<a",
+         "yo", "ur_", "-----BEGIN ", "  -----BE", "GIN x", "12345678", "abcdefghij", " ", "todo", "h7Gk2mQx9z"]
+NAMES = ["a", "b", "c", "secret", "db_password", "token", "key", "api_key", "title", "password_hint", "userId"]
+
+
+def test_secret_propagation_by_definition():
+    rng, hits = random.Random(11), 0
+    for _ in range(4000):
+        program = []
+        for _ in range(rng.randint(1, 9)):
+            some = [rng.choice([("name", rng.choice(NAMES)), ("text", rng.choice(TEXTS))]) for _ in range(rng.randint(1, 3))]
+            program.append((rng.choice(NAMES), some))
+        text, places = "", {}
+        for line, (name, operands) in enumerate(program):
+            text += f"{name} = "
+            for at, (kind, x) in enumerate(operands):
+                text += " + " * (at > 0) + '"' * (kind == "text")
+                places[len(text), len(text) + len(x)] = line, at
+                text += x + '"' * (kind == "text")
+            text += "\n"
+        got = {places[s["start"], s["end"]] for s in secret_scan.find_secrets(text) if s["kind"] == "literal"}
+        assert got == literals_by_definition(program), text
+        hits += bool(got)
+    assert hits > 1000
+
+
+def test_secret_sums_are_not_written_out():
+    """A thousand lines that double a value: quick, and the one literal is found."""
+    chain = "v0 = 'Zx9Kq2Lm8'\n" + "".join(f"v{i + 1} = v{i} + v{i}\n" for i in range(1000)) + "secret_key = v1000\n"
+    again = "b = 'Zx9Kq2Lm8'\n" + "b = b + b\n" * 1000 + "token = b\n"
+    for text in (chain, again):
+        tracemalloc.start()
+        start = time.process_time()
+        assert literals(text) == ["Zx9Kq2Lm8"]
+        assert time.process_time() - start < 2
+        assert tracemalloc.get_traced_memory()[1] < 20e6
+        tracemalloc.stop()
+    assert "Zx9Kq2Lm8" not in secret_scan.redact(chain)
+
+
 def test_redaction(spark):
     docs = odd_docs(spark).select("doc_id", "text")
     out = docs.withColumn("clean", secret_scan.redacted(F.col("text"))).collect()
