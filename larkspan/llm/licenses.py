@@ -2,8 +2,14 @@
 
 The templates' words form one automaton. A text is streamed through it once, which gives
 at every word the longest match that ends there (the matching statistics). Matches that
-no next word extends, of ``MIN_MATCH`` words or more, are chained in the order of both text
-and template; a template is found where a chain covers enough of its words.
+no next word extends, of ``MIN_MATCH`` words or more, are taken at every place that the
+template has them, and chained in the order of both text and template. Of all chains the
+one that covers the most words counts: a match that overlaps the one before it, in the text
+or in the template, is trimmed by the overlap. A template is found where a chain covers
+enough of its words. Templates are short notices and the full texts in ``license_texts``.
+
+The scan of a text takes time in proportion to its words, times the matches that end within
+``GAP`` words or a match's length.
 
 Words are runs of ASCII digits and letters, A-Z in lower case, and of all characters
 beyond ASCII. Defined cases: a null or empty text has no word, no label and score 0;
@@ -13,7 +19,11 @@ repeated rows are scanned each; an empty table gives no row. Other columns are i
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
+from collections import defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column
@@ -93,6 +103,20 @@ TEMPLATES = (
 )
 
 
+# Label of each full text, by the name of its file.
+TEXT_LABELS = {
+    "apache-2": "apache-2", "artistic": "artistic", "bsd": "bsd", "cc0": "cc0", "gpl-2": "gpl", "gpl-3": "gpl",
+    "lgpl-2.1": "lgpl", "lgpl-3": "lgpl", "mpl-2": "mpl-2",
+}
+
+
+@lru_cache(maxsize=1)
+def all_templates() -> tuple[tuple[str, str], ...]:
+    """The notices and the full texts, which lie beside this file; read on the driver."""
+    folder = Path(__file__).parent / "license_texts"
+    return TEMPLATES + tuple((label, (folder / f"{name}.txt").read_text()) for name, label in TEXT_LABELS.items())
+
+
 def words_of(text: bytes | None) -> list[bytes]:
     return WORD.findall((text or b"").lower())
 
@@ -101,28 +125,29 @@ class Automaton:
     """Generalised suffix automaton of word sequences.
 
     ``next[s]`` are the transitions of state s, ``link[s]`` its suffix link, ``length[s]``
-    its longest match and ``ends[s]`` the first end of the match in each template.
+    its longest match and ``ends[s]`` all (template, end) of its matches, if these may have
+    ``MIN_MATCH`` words.
     """
 
     def __init__(self, sequences: list[list[bytes]]):
         self.next: list[dict[bytes, int]] = [{}]
         self.link, self.length = [-1], [0]
-        self.ends: list[dict[int, int]] = [{}]
+        self.ends: list[list[tuple[int, int]]] = [[]]
         for number, words in enumerate(sequences):
             last = 0
             for end, word in enumerate(words, 1):
                 last = self._extend(last, word)
-                self.ends[last].setdefault(number, end)
+                self.ends[last].append((number, end))
         for state in sorted(range(1, len(self.next)), key=self.length.__getitem__, reverse=True):
-            above = self.ends[self.link[state]]
-            for number, end in self.ends[state].items():
-                above[number] = min(end, above.get(number, end))
+            above = self.link[state]
+            if self.length[above] >= MIN_MATCH:
+                self.ends[above] += self.ends[state]
 
     def _state(self, length: int, link: int, following: dict) -> int:
         self.next.append(following)
         self.link.append(link)
         self.length.append(length)
-        self.ends.append({})
+        self.ends.append([])
         return len(self.next) - 1
 
     def _extend(self, last: int, word: bytes) -> int:
@@ -170,6 +195,29 @@ class Automaton:
             yield len(words), length, state
 
 
+def chains(matches: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """(covered words, start, end) of the best chain that ends with each of ``matches``.
+
+    These are (end in the text, end in the template, length), in order, of one template. A
+    match follows another that ends before it in both and at most ``GAP`` words before it in
+    the text; it covers what the other has not.
+    """
+    best: list[tuple[int, int, int]] = []
+    for i, (end, at, length) in enumerate(matches):
+        start = end - length
+        most, first = length, start
+        for j in range(i - 1, -1, -1):
+            before, place, _ = matches[j]
+            if before < start - GAP:
+                break
+            left = length - max(0, before - start, place - (at - length))
+            # No match that ends with this one's first words can follow by a gap.
+            if left > 0 and start + length - left <= before + GAP and best[j][0] + left > most:
+                most, first = best[j][0] + left, best[j][1]
+        best.append((most, first, end))
+    return best
+
+
 class Scanner:
     def __init__(self, templates=TEMPLATES):
         self.labels = [label for label, _ in templates]
@@ -177,30 +225,29 @@ class Scanner:
         self.sizes = [len(s) for s in sequences]
         self.automaton = Automaton(sequences)
 
-    def spans(self, words: list[bytes]) -> list[dict]:
-        """Found templates: label, start and end in words, covered share; by start."""
-        chains: dict[int, list] = {}  # template: text start, text end, template end, covered
-        done = []
+    def chained(self, words: list[bytes]) -> dict[int, list[tuple[int, int, int]]]:
+        """The ``chains`` of each template that matches."""
+        found = defaultdict(list)
         for end, length, state in self.automaton.matches(words):
-            for number, at in self.automaton.ends[state].items():
-                chain = chains.get(number)
-                if chain and chain[2] <= at - length and chain[1] <= end - length <= chain[1] + GAP:
-                    chain[1], chain[2] = end, at
-                    chain[3] += length
-                else:
-                    if chain:
-                        done.append((number, chain))
-                    chains[number] = [end - length, end, at, length]
-        done += chains.items()
-        found = [
-            {
-                "label": self.labels[number],
-                "start": start,
-                "end": end,
-                "covered": min(1.0, covered / self.sizes[number]),
-            }
-            for number, (start, end, _, covered) in done
-        ]
+            for number, at in self.automaton.ends[state]:
+                found[number].append((end, at, length))
+        return {number: chains(sorted(matches)) for number, matches in found.items()}
+
+    def spans(self, chained: dict[int, list[tuple[int, int, int]]]) -> list[dict]:
+        """Found templates: label, start and end in words, covered share; by start.
+
+        Of chains of a template that overlap in the text the one that covers the most is taken.
+        """
+        found = []
+        for number, ends in chained.items():
+            size, taken = self.sizes[number], []
+            enough = [x for x in ends if x[0] >= COVERAGE * size]
+            for covered, start, end in sorted(enough, key=lambda x: (-x[0], x[1])):
+                at = bisect_left(taken, (start, end))
+                if (at and taken[at - 1][1] > start) or (at < len(taken) and taken[at][0] < end):
+                    continue
+                taken.insert(at, (start, end))
+                found.append({"label": self.labels[number], "start": start, "end": end, "covered": covered / size})
         return sorted(found, key=lambda x: (x["start"], x["label"], x["end"]))
 
     def scan(self, text: bytes | None) -> dict:
@@ -208,23 +255,34 @@ class Scanner:
         joined = b" " + b" ".join(words) + b" "
         places, labels = [], set()
         for phrase, label in PHRASES:
+            # Blanks are counted on from the place before.
+            seen = word = 0
             at = joined.find(b" " + phrase + b" ")
             while at >= 0:
-                places.append(joined.count(b" ", 0, at))
+                word += joined.count(b" ", seen, at)
+                seen = at
+                places.append(word)
                 labels.add(label)
                 at = joined.find(b" " + phrase + b" ", at + 1)
-        spans = self.spans(words)
-        found = [s for s in spans if s["covered"] >= COVERAGE]
+        chained = self.chained(words)
+        found = self.spans(chained)
+        covered = [max(ends)[0] / self.sizes[number] for number, ends in chained.items()]
         return {
             "n_words": len(words),
             "places": sorted(places),
             "base_labels": sorted(labels),
             "labels": sorted(labels | {s["label"] for s in found}),
             "spans": found,
-            "score": max([s["covered"] for s in spans] + [1.0 for _ in places[:1]], default=0.0),
+            "score": max(covered + [1.0 for _ in places[:1]], default=0.0),
         }
 
 
+@lru_cache(maxsize=2)
+def _scanner(templates: tuple[tuple[str, str], ...]) -> Scanner:
+    """One scanner for each worker, kept from task to task."""
+    return Scanner(templates)
+
+
 _SCAN = pa.struct(
     [
         ("n_words", pa.int64()),
@@ -253,12 +311,13 @@ SCAN = (
 )
 
 
-def license_scan(text: Column, templates=TEMPLATES) -> Column:
-    """What ``Scanner.scan`` gives for each text."""
+def license_scan(text: Column, templates: tuple[tuple[str, str], ...] | None = None) -> Column:
+    """What ``Scanner.scan`` gives for each text, by ``all_templates`` if none are given."""
+    templates = all_templates() if templates is None else tuple(templates)
 
     @F.arrow_udf(SCAN)
     def scan(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        scanner = Scanner(templates)
+        scanner = _scanner(templates)
         for texts in batches:
             raw = texts.cast(pa.binary()).to_pylist()
             yield pa.array([scanner.scan(t) for t in raw], _SCAN)

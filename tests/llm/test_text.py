@@ -267,7 +267,9 @@ def test_suffix_automaton_by_definition():
     for _ in range(20):
         seqs = [[rng.choice([b"a", b"b", b"c"]) for _ in range(rng.randint(1, 25))] for _ in range(4)]
         automaton = licenses.Automaton(seqs)
-        inside = lambda x: {n: s for n, s in enumerate(seqs) if any(s[i : i + len(x)] == x for i in range(len(s) - len(x) + 1))}
+        inside = lambda x: [
+            (n, i + len(x)) for n, s in enumerate(seqs) for i in range(len(s) - len(x) + 1) if s[i : i + len(x)] == x
+        ]
         text = [rng.choice([b"a", b"b", b"c", b"d"]) for _ in range(40)]
         longest = [max(n for n in range(end + 1) if inside(text[end - n : end])) for end in range(len(text) + 1)]
         want = [
@@ -278,7 +280,61 @@ def test_suffix_automaton_by_definition():
         got = list(automaton.matches(text))
         assert [(e, n) for e, n, _ in got] == want
         for e, n, state in got:
-            assert set(automaton.ends[state]) == set(inside(text[e - n : e]))
+            assert sorted(automaton.ends[state]) == inside(text[e - n : e])
+
+
+def longest_chain(matches, i):
+    """Words covered by the best chain that ends with match i, trying all that can be before."""
+    end, at, length = matches[i]
+    most = length
+    for j, (before, place, _) in enumerate(matches):
+        trimmed = max(0, before - (end - length), place - (at - length))
+        if before < end and place < at and trimmed < length and end - length + trimmed - before <= licenses.GAP:
+            most = max(most, longest_chain(matches, j) + length - trimmed)
+    return most
+
+
+def test_chains_by_definition():
+    rng = random.Random(8)
+    for _ in range(300):
+        matches = sorted({(rng.randint(4, 60), rng.randint(4, 40), rng.randint(4, 9)) for _ in range(9)})
+        matches = [m for m in matches if m[2] <= min(m[0], m[1])]
+        got = licenses.chains(matches)
+        assert [x[0] for x in got] == [longest_chain(matches, i) for i in range(len(matches))]
+        assert all(start <= end - 4 for _, start, end in got)
+
+
+def test_license_with_a_clause_left_out():
+    """The clauses around it share words, so the later match overlaps the earlier one."""
+    whole = next(t for label, t in licenses.TEMPLATES if label == "bsd")
+    at = whole.index("Redistributions in binary")
+    changed = whole[:at] + whole[whole.index("disclaimer", at) + len("disclaimer") :]
+    got = licenses.Scanner().scan(f"word {changed} word".encode())
+    assert got["labels"] == ["bsd"] and 0.7 <= got["score"] < 0.8
+    twice = licenses.Scanner().scan(f"{changed} and once more {whole}".encode())
+    assert [s["label"] for s in twice["spans"]] == ["bsd", "bsd"]
+    assert twice["spans"][0]["end"] <= twice["spans"][1]["start"]
+
+
+@pytest.mark.parametrize("name", sorted(licenses.TEXT_LABELS))
+def test_full_license_texts(name):
+    """Each text is found alone, and with every tenth word changed."""
+    scanner = licenses.Scanner(licenses.all_templates())
+    text = next(t for n, (_, t) in zip(licenses.TEXT_LABELS, licenses.all_templates()[len(licenses.TEMPLATES) :], strict=True) if n == name)
+    assert licenses.TEXT_LABELS[name] in scanner.scan(text.encode())["labels"]
+    words = text.split()
+    changed = " ".join("changed" if i % 10 == 5 else w for i, w in enumerate(words))
+    spans = scanner.scan(changed.encode())["spans"]
+    assert licenses.TEXT_LABELS[name] in {s["label"] for s in spans}
+
+
+def test_many_places_take_linear_time():
+    """3 MB of phrases: each place is counted from the one before."""
+    text = b"under the mit license; " * 130_000
+    start = time.process_time()
+    got = licenses.Scanner().scan(text)
+    assert time.process_time() - start < 20
+    assert got["places"] == list(range(0, 4 * 130_000, 4)) and got["labels"] == ["mit"]
 
 
 # --- benchmark -------------------------------------------------------------------------
