@@ -1,16 +1,17 @@
 """Benchmark decontamination by pigeonhole edit matching.
 
 Texts and test items are compared as words (runs of letters, digits and ``_`` in lower
-case; where a script has no blanks, each code point is a word). An item of m words may occur with k = floor(m / 5) word edits. Split into k + 1
-pieces, at least one piece of any such occurrence is untouched, so all exact hits of
-pieces are looked up with one automaton, and around each hit the item is verified by
-Myers' bit-parallel edit distance.
+case; where a script has no blanks, each code point is a word). An item of m words may
+occur with k = floor(m / 5) word edits. Split into k + 1 pieces, at least one piece of any
+such occurrence is untouched, so all exact hits of pieces are looked up with one automaton,
+and around each hit the item is verified by Myers' bit-parallel edit distance. An item of
+under five words is one piece and is found word for word.
 
 The items are a stated query set. They are sent to the tasks in blocks of at most
 ``block_bytes`` of text; further blocks are further passes over the documents.
 
-Defined cases: a null item or id, and an item of under ``MIN_WORDS`` words, are left out; a null or empty text has no match; repeated rows and
-repeated items each give their matches; of several places of an item in a text the
+Defined cases: a null item or id, and an item without words, are left out; a null or empty
+text has no match; repeated rows and repeated items each give their matches; of several places of an item in a text the
 nearest, then the first, is given; no items or no documents give no match. Other
 columns are ignored or, in ``without_contaminated``, kept.
 """
@@ -38,7 +39,7 @@ UNSPACED = (
 )
 HAS_UNSPACED = re.compile(f"[{UNSPACED}]")
 MIXED_WORD = re.compile(rf"[^\W{UNSPACED}]+|(?=\w)[{UNSPACED}]")
-MIN_WORDS, EDITS_IN = 5, 5
+EDITS_IN = 5
 MATCHES = "array<struct<item_id:bigint,distance:int,words:int,start:bigint,end:bigint>>"
 _MATCHES = pa.list_(
     pa.struct(
@@ -143,6 +144,8 @@ class Matcher:
         item = self.items[number][1]
         edits = len(item) // EDITS_IN
         low = max(0, start - edits)
+        if number in best and best[number][0] == 0 and best[number][1] <= low:
+            return  # found exactly, and no later
         around = words[low : start + len(item) + edits]
         distance, end = myers(item, around)
         if distance > edits:
@@ -153,9 +156,11 @@ class Matcher:
             best[number] = found
 
 
-def item_blocks(benchmark: DataFrame, block_bytes: int) -> list[list[tuple[int, list[str]]]]:
+def item_blocks(benchmark: DataFrame, block_bytes: int, min_words: int = 1) -> list[list[tuple[int, list[str]]]]:
     """The items in blocks of at most ``block_bytes`` characters (or one longer item).
 
+    ``min_words`` leaves out shorter items: one or two words stand in most documents by chance.
+
     The items are a set of queries that fits the driver; each block goes to the tasks with
     the function that looks for it.
     """
@@ -163,7 +168,7 @@ def item_blocks(benchmark: DataFrame, block_bytes: int) -> list[list[tuple[int,
     rows = benchmark.select("item_id", "text").dropna().orderBy("item_id", "text")
     for item_id, text in rows.toLocalIterator():
         words = words_of(text)
-        if len(words) < MIN_WORDS:
+        if len(words) < max(1, min_words):
             continue
         if blocks[-1] and size + len(text) > block_bytes:
             blocks.append([])
@@ -183,20 +188,22 @@ def _matches(text: Column, items: list[tuple[int, list[str]]]) -> Column:
     return find(text)
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, block_bytes: int = 8 << 20) -> DataFrame:
+def contaminated(
+    docs: DataFrame, benchmark: DataFrame, block_bytes: int = 8 << 20, min_words: int = 1
+) -> DataFrame:
     """``doc_id`` and the match, for each document and item that match: a pass for each block."""
     found = [
         docs.select("doc_id", F.explode(_matches(F.col("text"), block)).alias("m"))
-        for block in item_blocks(benchmark, block_bytes)
+        for block in item_blocks(benchmark, block_bytes, min_words)
     ]
     return reduce(DataFrame.union, found).select("doc_id", "m.*")
 
 
 def without_contaminated(
-    docs: DataFrame, benchmark: DataFrame, block_bytes: int = 8 << 20
+    docs: DataFrame, benchmark: DataFrame, block_bytes: int = 8 << 20, min_words: int = 1
 ) -> DataFrame:
     """The rows of ``docs`` that match no item; what one block leaves is stored for the next."""
-    blocks = item_blocks(benchmark, block_bytes)
+    blocks = item_blocks(benchmark, block_bytes, min_words)
     for number, block in enumerate(blocks):
         docs = docs.filter(F.size(_matches(F.col("text"), block)) == 0)
         if number < len(blocks) - 1:
