@@ -7,8 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from larkspan.llm import chat, quality, warc
-from larkspan.llm.common import new_folder
+from larkspan.llm.common import new_folder, stored
 from larkspan.llm.queries import ORACLES, QUERIES
+from larkspan.sources import table
 from tests.llm.cases import no_docs, odd_docs
 from tests.oracle_check import assert_same
 
@@ -33,9 +34,10 @@ def rows(df):
     return sorted(str(sorted(r.asDict().items())) for r in df.collect())
 
 
+@pytest.mark.parametrize("sf_dir", [SMALL, "/root/testdata/sf0.1"])
 @pytest.mark.parametrize("name", ["op1_quality_rules", "op6_chat_rotation", "op7_warc_bundles"])
-def test_whole_tables(spark, name):
-    assert assert_same(QUERIES[name](spark, SMALL), SMALL, ORACLES[name]) > 0
+def test_whole_tables(spark, name, sf_dir):
+    assert assert_same(QUERIES[name](spark, sf_dir), sf_dir, ORACLES[name]) > 0
 
 
 @pytest.mark.parametrize("name", ["op1_quality_rules", "op6_chat_rotation"])
@@ -46,22 +48,82 @@ def test_no_python(spark, name):
 
 def test_quality_of_odd_rows(spark, tmp_path):
     docs = odd_docs(spark)
-    sql = quality.QUALITY_SQL.format(min_rows=3, fence=4)
-    got = rows(quality.quality_rules(docs, min_rows=3))
+    sql = quality.QUALITY_SQL.format(prior=2, fence=4, tail=3)
+    got = rows(quality.quality_rules(docs, prior=2, fence=4, tail=3))
     assert got == oracle(tmp_path, sql, documents=docs)
     assert len(got) == docs.count()
 
 
+QUALITY_DOCS = "doc_id bigint, text string, lang string, source string"
+
+
+def prose(i, n=50):
+    return " ".join(f"word{i}x{k * k % 89}" for k in range(n))
+
+
+def code(i):
+    return " ".join(f"v{i}x{k} = a | b" for k in range(50))
+
+
+def kept(docs):
+    return {r.doc_id: r.kept for r in quality.quality_rules(docs).collect()}
+
+
 def test_quality_limits_follow_the_group(spark):
     """A share of symbols that is usual in one source is far out in another."""
-    prose = " ".join(f"word{i}" for i in range(50))
-    code = " ".join(f"v{i} = a | b" for i in range(50))
-    data = [(i, prose, "en", "prose") for i in range(300)] + [(1000 + i, code, "en", "code") for i in range(300)]
-    data += [(5000, code, "en", "prose"), (5001, code, "en", "tiny")]
-    docs = spark.createDataFrame(data, "doc_id bigint, text string, lang string, source string")
-    kept = {r.doc_id: r.kept for r in quality.quality_rules(docs).collect()}
-    assert not kept.pop(5000)
-    assert all(kept.values())
+    data = [(i, prose(i), "en", "prose") for i in range(300)] + [(1000 + i, code(i), "en", "code") for i in range(300)]
+    data += [(5000, code(5000), "en", "prose"), (5001, code(5001), "en", "tiny")]
+    found = kept(spark.createDataFrame(data, QUALITY_DOCS))
+    assert not found.pop(5000)
+    assert all(found.values())
+
+
+def repeating(i):
+    """200 words of which a sixth stands in two equal windows: the base rules pass it."""
+    words = [f"word{i}x{k * k % 89}y{k}" for k in range(200)]
+    words[100:115] = words[50:65]
+    return " ".join(words)
+
+
+def doubled_lines(i):
+    lines = [f"line{i} number{k} of ten{k * k} words" for k in range(20)]
+    return "\n".join([*lines, "one", "one", "two", "two"])
+
+
+def test_quality_measures_reject_what_the_base_rules_pass(spark):
+    """Repeated words and repeated lines, in a source where they are rare and where they are usual."""
+    data = [(i, prose(i, 60 + i % 7), "en", "plain") for i in range(200)]
+    data += [(1000 + i, repeating(i), "en", "chorus") for i in range(200)]
+    data += [(2000 + i, doubled_lines(i), "en", "menus") for i in range(200)]
+    data += [(5000, repeating(5000), "en", "plain"), (5001, doubled_lines(5001), "en", "plain")]
+    found = quality.quality_rules(spark.createDataFrame(data, QUALITY_DOCS)).collect()
+    odd = {r.doc_id: r for r in found if r.doc_id >= 5000}
+    assert odd[5000].repeats > 100 and odd[5000].dup_lines == 0 and not odd[5000].base_failed
+    assert odd[5001].dup_lines > 50 and odd[5001].repeats == 0 and not odd[5001].base_failed
+    assert not odd[5000].kept and not odd[5001].kept
+    assert all(r.kept for r in found if r.doc_id < 5000)
+
+
+def test_quality_copies_and_junk_do_not_move_limits(spark):
+    """A text of many symbols copied over half of its source stays out, and so do base-failed rows."""
+    data = [(i, prose(i), "en", "prose") for i in range(300)]
+    clean = kept(spark.createDataFrame([*data, (5000, code(1), "en", "prose")], QUALITY_DOCS))
+    copies = [(6000 + i, code(1), "en", "prose") for i in range(400)]
+    junk = [(8000 + i, f"# * # * {i}", "en", "prose") for i in range(400)]
+    more = kept(spark.createDataFrame([*data, (5000, code(1), "en", "prose"), *copies, *junk], QUALITY_DOCS))
+    assert not any(more[i] for i in (5000, *range(6000, 6400), *range(8000, 8400)))
+    assert {i: more[i] for i in clean} == clean and all(clean[i] for i in range(300))
+
+
+def test_quality_limits_differ_by_group(spark):
+    """No constant is the limit of most groups: those of each measure take many values."""
+    docs = table(spark, "/root/testdata/sf0.1", "documents")
+    found = quality.quality_rules(docs).withColumn("text_key", F.col("doc_id"))
+    measured = stored(found.join(docs.select("doc_id", "lang", "source"), "doc_id"), "measured")
+    limits = quality.adaptive_limits(stored(quality.quantile_sketches(measured), "sketches")).collect()
+    assert len(limits) == 80
+    for column in ("min_word_length", "max_word_length", "max_symbols", "max_dup_lines", "max_repeats"):
+        assert len({r[column] for r in limits}) > 10, column
 
 
 def test_quality_without_documents(spark):
