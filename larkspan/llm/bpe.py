@@ -35,9 +35,9 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 # Chunks without white space that are remembered, and the longest of them, in bytes.
-KEPT, KEPT_BYTES = 300_000, 256
-# Bytes of texts whose new chunks are encoded together.
-TOGETHER = 4 << 20
+KEPT, KEPT_BYTES = 150_000, 256
+# Bytes of texts that are encoded together, and ids that are decoded together.
+TOGETHER, IDS_TOGETHER = 2 << 20, 1 << 20
 # Fixed value: the words of the vocabulary's own splitting.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 # Fragments of up to so many bytes are merged many at a time.
@@ -50,6 +50,16 @@ PLAIN_WORDS = re.compile(
 )
 
 
+def portions(sizes: np.ndarray, most: int) -> Iterator[slice]:
+    """Rows in portions of ``sizes`` of about ``most``, or one larger row."""
+    ends, low = np.cumsum(sizes), 0
+    while low < len(ends):
+        before = ends[low - 1] if low else 0
+        high = max(low + 1, int(np.searchsorted(ends, before + most, side="right")))
+        yield slice(low, high)
+        low = high
+
+
 def byte_letters() -> list[str]:
     """The letter that stands for each byte in a byte-level vocabulary.
 
@@ -273,18 +283,11 @@ class ForcedBoundaryEncoder:
             self._known[chunk] = b"".join([ids[w] for w in parts])
 
     def ids(self, texts: list[bytes | None]) -> list[bytes]:
-        """The ids of texts in UTF-8, as unsigned little-endian 32-bit numbers.
-
-        Texts are taken together up to ``TOGETHER`` bytes, or one longer text.
-        """
-        out, some, size = [], [], 0
-        for text in texts:
-            some.append(text or b"")
-            size += len(some[-1])
-            if size >= TOGETHER:
-                out += self._some(some)
-                some, size = [], 0
-        return out + self._some(some)
+        """The ids of texts in UTF-8, as unsigned little-endian 32-bit numbers."""
+        out: list[bytes] = []
+        for some in portions(np.array([len(t or b"") for t in texts], np.int64), TOGETHER):
+            out += self._some([t or b"" for t in texts[some]])
+        return out
 
     def _some(self, texts: list[bytes]) -> list[bytes]:
         if len(self._known) > KEPT:
@@ -324,14 +327,19 @@ def tokens_by_id(spec: str) -> pa.Array:
 
 def decoded(ids: pa.ListArray, tokens: pa.Array) -> pa.Array:
     """The text of each list of ids: its tokens joined by a blank."""
+    sizes = pc.list_value_length(ids).fill_null(0).to_numpy(zero_copy_only=False)
+    parts = [_decoded(ids[some], sizes[some], tokens) for some in portions(sizes, IDS_TOGETHER)]
+    return pa.concat_arrays(parts) if parts else pa.array([], pa.string())
+
+
+def _decoded(ids: pa.ListArray, sizes: np.ndarray, tokens: pa.Array) -> pa.Array:
     flat = ids.flatten()
     valid = pc.and_(pc.greater_equal(flat, 0), pc.less(flat, len(tokens)))
     found = tokens.take(pc.if_else(valid, flat, pa.scalar(None, flat.type)))
-    offsets = np.zeros(len(ids) + 1, np.int64)
-    np.cumsum(pc.list_value_length(ids).fill_null(0).to_numpy(zero_copy_only=False), out=offsets[1:])
-    kept = found.is_valid().to_numpy(zero_copy_only=False)
-    offsets = np.concatenate([[0], np.cumsum(kept)])[offsets]
-    lists = pa.LargeListArray.from_arrays(offsets, found.drop_null().cast(pa.large_string()))
+    # An id that the vocabulary lacks is left out, so ends are counted among the others.
+    kept = np.concatenate([[0], np.cumsum(found.is_valid().to_numpy(zero_copy_only=False))])
+    ends = kept[np.concatenate([[0], np.cumsum(sizes)])]
+    lists = pa.LargeListArray.from_arrays(ends, found.drop_null().cast(pa.large_string()))
     texts = pc.binary_join(lists, pa.scalar(" ", pa.large_string()))
     return pc.if_else(ids.is_valid(), texts, None).cast(pa.string())
 
@@ -341,18 +349,27 @@ def _spec(tokenizer: str | Path):
     return SparkSession.getActiveSession().sparkContext.broadcast(Path(tokenizer).read_text())
 
 
+def _lists(texts: pa.Array, encoder: ForcedBoundaryEncoder) -> pa.ListArray:
+    """The ids of each text of an array, a portion at a time."""
+    sizes = pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False)
+    ends, values = [np.zeros(1, np.int64)], []
+    for some in portions(sizes, TOGETHER):
+        raw = encoder.ids(texts[some].cast(pa.binary()).to_pylist())
+        ends.append(ends[-1][-1] + np.cumsum(np.fromiter(map(len, raw), np.int64, len(raw))) // 4)
+        values.append(pa.array(np.frombuffer(b"".join(raw), "<i4")))
+    flat = pa.concat_arrays(values) if values else pa.array([], pa.int32())
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(ends), pa.int32()), flat)
+
+
 def encode(text: Column, tokenizer: str | Path) -> Column:
     """``array<int>``: the ids of each text by the vocabulary at the path ``tokenizer``."""
     spec = _spec(tokenizer)
 
     @F.arrow_udf("array<int>")
     def ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        of = _encoder(spec.value).ids
+        encoder = _encoder(spec.value)
         for texts in batches:
-            raw = of(texts.cast(pa.binary()).to_pylist())
-            ends = np.concatenate([[0], np.cumsum(np.fromiter(map(len, raw), np.int64, len(raw)))]) // 4
-            values = np.frombuffer(b"".join(raw), "<i4")
-            yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values))
+            yield _lists(texts, encoder)
 
     return ids(text)
 
@@ -368,3 +385,20 @@ def decode(ids: Column, tokenizer: str | Path) -> Column:
             yield decoded(lists, tokens)
 
     return text(ids)
+
+
+def round_trip(text: Column, tokenizer: str | Path) -> Column:
+    """``struct<ids, text>``: what ``encode`` gives for each text, and ``decode`` for that.
+
+    One Python process does both, where two would each hold a batch.
+    """
+    spec = _spec(tokenizer)
+
+    @F.arrow_udf("struct<ids:array<int>,text:string>")
+    def both(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        encoder, tokens = _encoder(spec.value), tokens_by_id(spec.value)
+        for texts in batches:
+            lists = _lists(texts, encoder)
+            yield pa.StructArray.from_arrays([lists, decoded(lists, tokens)], ["ids", "text"])
+
+    return both(text)

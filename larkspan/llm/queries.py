@@ -128,16 +128,15 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op12_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text encoded, and the ids decoded."""
-    vocabulary = tokenizer_path("word_bpe_49k.json")
-    encoded = table(spark, sf_dir, "documents").select(
-        "doc_id", bpe.encode(F.col("text"), vocabulary).alias("ids")
+    found = table(spark, sf_dir, "documents").select(
+        "doc_id", bpe.round_trip(F.col("text"), tokenizer_path("word_bpe_49k.json")).alias("x")
     )
-    digits = F.array_join(F.col("ids").cast("array<string>"), " ")
-    return encoded.select(
+    digits = F.array_join(F.col("x.ids").cast("array<string>"), " ")
+    return found.select(
         "doc_id",
-        F.size("ids").cast("long").alias("n_tokens"),
+        F.size("x.ids").cast("long").alias("n_tokens"),
         F.sha2(digits, 256).alias("ids_sha256"),
-        F.sha2(bpe.decode(F.col("ids"), vocabulary), 256).alias("decoded_sha256"),
+        F.sha2("x.text", 256).alias("decoded_sha256"),
     )
 
 
@@ -207,7 +206,7 @@ OPERATORS = (
 QUERIES = {query.__name__: with_package(query) for query in OPERATORS}
 
 ORACLES = {
-    "op1_quality_rules": quality.QUALITY_SQL.format(min_rows=200, fence=4),
+    "op1_quality_rules": quality.QUALITY_SQL.format(prior=20, fence=5, tail=1),
     "op6_chat_rotation": CHAT_SQL,
     "op7_warc_bundles": WARC_SQL,
     "op11_source_divergence": divergence.DIVERGENCE_SQL,

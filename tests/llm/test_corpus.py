@@ -276,13 +276,32 @@ def test_bpe_of_odd_rows(spark, library, tmp_path):
     assert Counter(r.doc_id for r in got) == Counter(r.doc_id for r in odd_docs(spark).collect())
     for r in got:
         assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == digests(library, texts[r.doc_id])
-    nothing = no_docs(spark).select(bpe.decode(bpe.encode(F.col("text"), VOCABULARY), VOCABULARY))
-    assert nothing.count() == 0
+    one = bpe.decode(bpe.encode(F.col("text"), VOCABULARY), VOCABULARY)
+    both = bpe.round_trip(F.col("text"), VOCABULARY)["text"]
+    assert odd_docs(spark).filter(~one.eqNullSafe(both)).count() == 0
+    assert no_docs(spark).select(one, both).count() == 0
 
 
 def test_each_text_is_encoded_once(spark):
     plan = QUERIES["op12_bpe_round_trip"](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
-    assert plan.count("ids(text") == 1 and plan.count("ArrowEvalPython") == 2
+    assert plan.count("both(text") == 1 and plan.count("ArrowEvalPython") == 1
+
+
+def test_texts_are_encoded_in_portions(spark, library, monkeypatch):
+    """Batches cut into portions of few bytes and ids, one text longer than any."""
+    monkeypatch.setattr(bpe, "TOGETHER", 300)
+    monkeypatch.setattr(bpe, "IDS_TOGETHER", 50)
+    texts = [None, "", "one two three " * 40, *(f"text {i}, é日本 {i * i}" for i in range(200)), None]
+    encoder = bpe.ForcedBoundaryEncoder(open(VOCABULARY).read())
+    lists = bpe._lists(pa.array(texts), encoder)
+    want = [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert lists.to_pylist() == want
+    tokens = bpe.tokens_by_id(open(VOCABULARY).read())
+    got = bpe.decoded(lists, tokens).to_pylist()
+    assert got == [library.decode(x, skip_special_tokens=False) for x in want]
+    sliced = bpe.decoded(lists[3:9], tokens).to_pylist()
+    assert sliced == got[3:9]
+    assert bpe._lists(pa.array([], pa.string()), encoder).to_pylist() == []
 
 
 # --- importance resampling -------------------------------------------------------------
