@@ -34,6 +34,8 @@ from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from larkspan.llm.common import portions
+
 # Chunks without white space that are remembered, and the longest of them, in bytes.
 KEPT, KEPT_BYTES = 150_000, 256
 # Bytes of texts that are encoded together, and ids that are decoded together.
@@ -50,16 +52,6 @@ PLAIN_WORDS = re.compile(
 )
 
 
-def portions(sizes: np.ndarray, most: int) -> Iterator[slice]:
-    """Rows in portions of ``sizes`` of about ``most``, or one larger row."""
-    ends, low = np.cumsum(sizes), 0
-    while low < len(ends):
-        before = ends[low - 1] if low else 0
-        high = max(low + 1, int(np.searchsorted(ends, before + most, side="right")))
-        yield slice(low, high)
-        low = high
-
-
 def byte_letters() -> list[str]:
     """The letter that stands for each byte in a byte-level vocabulary.
 

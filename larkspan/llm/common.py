@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import functools
+import re
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
 from pathlib import Path
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -51,10 +54,14 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share, without a final slash.
 
     It is the cluster's ``spark.checkpoint.dir``, or the checkpoint folder that the session
-    was given. Only where both are unset, as in tests, a new local folder is taken and set.
+    was given. Only where both are unset and all runs in one process, as in tests, a new
+    local folder is taken and set; on a cluster that is an error, as each machine would
+    write to a disk of its own.
     """
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if path is None:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         path = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", path)
         spark.sparkContext.setCheckpointDir(path)
@@ -67,6 +74,16 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/larkspan-{app}/{name}-{uuid.uuid4().hex}"
 
 
+def portions(sizes: np.ndarray, most: int) -> Iterator[slice]:
+    """Rows in portions of ``sizes`` of about ``most``, or one larger row."""
+    ends, low = np.cumsum(sizes), 0
+    while low < len(ends):
+        before = ends[low - 1] if low else 0
+        high = max(low + 1, int(np.searchsorted(ends, before + most, side="right")))
+        yield slice(low, high)
+        low = high
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as a table in the shared folder and read again.
 
@@ -96,3 +113,26 @@ def bounded_ids(ids: DataFrame, label: str, per_label: int) -> DataFrame:
         .filter(F.col("_rank") <= per_label)
         .select(ids.columns)
     )
+
+
+# Words of 64 bits in which ids are marked at most: half a million, 8 MB of them.
+MARK_WORDS = 1 << 19
+
+
+def possibly_among(rows: DataFrame, ids: DataFrame, column: str, words: int = MARK_WORDS) -> DataFrame:
+    """The ``rows`` whose ``column`` can be among the values that ``ids`` has there.
+
+    Each value of ``ids`` sets the bit of its hash in one of ``words`` words, which are
+    broadcast: their number is bounded whatever the ids. Rows whose bit is not set are
+    dropped where they are read. All rows of ``ids`` pass, and of others as many as bits are
+    set; with as many ids as bits about two thirds pass, so a join has to follow. A null is
+    among none.
+    """
+    names = ["_word", "_marks"]
+    while {n.lower() for n in names} & {c.lower() for c in rows.columns}:
+        names = [n + "_" for n in names]
+    place = F.pmod(F.xxhash64(column), F.lit(words * 64))
+    word, bit = F.shiftright(place, 6), F.call_function("shiftleft", F.lit(1).cast("long"), (place % 64).cast("int"))
+    marks = ids.filter(F.col(column).isNotNull()).groupBy(word.alias(names[0])).agg(F.bit_or(bit).alias(names[1]))
+    marked = (F.col(names[0]) == word) & (F.col(names[1]).bitwiseAND(bit) != 0)
+    return rows.filter(F.col(column).isNotNull()).join(F.broadcast(marks), marked, "left_semi")

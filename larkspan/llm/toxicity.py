@@ -2,31 +2,36 @@
 
 Features are the hashed 4- to 9-grams within a text's words, each present or not. Their
 naive Bayes log-count ratios r come from all labelled texts. A logistic regression on the
-features scaled by r is then fitted on a bounded sample. Only the ``features`` n-grams
-that tell the labels apart best (chi-squared) carry weight, so the model has a fixed size.
+features scaled by r is then fitted on a bounded sample. It takes the n-grams that tell the
+labels apart significantly (chi-squared): at a level at which ``by_chance`` of all n-grams
+would do so if none had to do with the labels, for as many texts as the regression sees. So
+their number follows the data, and does not grow without end with the count of texts. The
+penalty is the one of ``PENALTIES`` that predicts a third of the sample best from the rest.
 
 Defined cases: a null or empty text has no feature and scores by the intercept; a null
 label or id is not learned from; of several labels for an id the highest counts;
 repeated documents each count; without labels, or with one label only, the score is the
-share of label 1 (0 without labels); an empty table gives no row. Other columns are
-ignored by the score.
+share of label 1 (0 without labels), and so is it where no n-gram is significant; an empty
+table gives no row. Other columns are ignored by the score.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larkspan.llm.common import bounded_ids
+from larkspan.llm.common import bounded_ids, portions, possibly_among, stored
 from larkspan.llm.ngrams import text_ngrams
 
 LOW, HIGH, BITS = 4, 9, 18
-PENALTY = 3.0
+PENALTIES = (0.3, 1.0, 3.0)
+STEPS, TOGETHER = 300, 1 << 20
 ALL = -1  # the bucket under which texts are counted
 
 
@@ -89,39 +94,69 @@ def ngram_counts(labelled: DataFrame) -> DataFrame:
     return parts.groupBy("bucket").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
 
 
-def select_features(counts: DataFrame, pos: int, neg: int, features: int) -> DataFrame:
-    """The ``features`` best buckets by chi-squared, with ``ratio`` r = log(p/|p|) - log(q/|q|)."""
+def significance_limit(by_chance: float, features: int) -> float:
+    """The chi-squared value that ``by_chance`` of so many unrelated features exceed."""
+    return NormalDist().inv_cdf(1 - min(1.0, by_chance / max(1, features)) / 2) ** 2
+
+
+def select_features(
+    counts: DataFrame, pos: int, neg: int, per_label: int, by_chance: float
+) -> DataFrame:
+    """``bucket`` and ``ratio`` r = log(p/|p|) - log(q/|q|) of the significant ones."""
     a, b = F.col("pos"), F.col("neg")
     n, seen = float(pos + neg), a + b
-    chi = n * F.pow(a * neg - b * pos, 2.0) / (seen * (n - seen) * float(pos) * float(neg))
-    sums = counts.filter(F.col("bucket") != ALL).agg(
-        F.sum(a + 1).alias("p"), F.sum(b + 1).alias("q")
-    )
-    p, q = sums.first()
-    return (
-        counts.filter((F.col("bucket") != ALL) & (seen < n))
-        .select("bucket", chi.alias("chi"), F.log((a + 1) / p * q / (b + 1)).alias("ratio"))
-        .orderBy(F.desc("chi"), "bucket")
-        .limit(features)
+    share = min(1.0, (min(pos, per_label) + min(neg, per_label)) / n)
+    chi = share * n * F.pow(a * neg - b * pos, 2.0) / (seen * (n - seen) * float(pos) * float(neg))
+    found = counts.filter(F.col("bucket") != ALL)
+    p, q, features = found.agg(F.sum(a + 1), F.sum(b + 1), F.count("*")).first()
+    limit = significance_limit(by_chance, features)
+    return found.filter((seen < n) & (chi > limit)).select(
+        "bucket", F.log((a + 1) / (p or 1) * (q or 1) / (b + 1)).alias("ratio")
     )
 
 
-def _fit(rows: list[np.ndarray], labels: np.ndarray, weights: np.ndarray, ratios: np.ndarray):
+class _Sample:
+    """Texts as lists of feature numbers, in portions of about ``TOGETHER`` numbers."""
+
+    def __init__(self, rows: list[np.ndarray], labels: np.ndarray, weights: np.ndarray):
+        self.labels, self.weights = labels, weights
+        self.parts = []
+        for some in portions(np.array([len(r) for r in rows], np.int64), TOGETHER):
+            lengths = [len(r) for r in rows[some]]
+            row = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
+            self.parts.append((some, row, np.concatenate(rows[some]).astype(np.int32)))
+
+    def sums(self, theta: np.ndarray) -> np.ndarray:
+        """The sum of ``theta`` over each text's features."""
+        out = np.zeros(len(self.labels))
+        for some, row, col in self.parts:
+            out[some] = np.bincount(row, theta[col], minlength=some.stop - some.start)
+        return out
+
+    def spread(self, errors: np.ndarray, features: int) -> np.ndarray:
+        """The sum of ``errors`` over the texts that have each feature."""
+        out = np.zeros(features)
+        for some, row, col in self.parts:
+            out += np.bincount(col, errors[some][row], minlength=features)
+        return out
+
+
+def _probability(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
+def _fit(sample: _Sample, ratios: np.ndarray, penalty: float):
     """Weighted logistic regression with an L2 penalty, by gradient steps of Adam.
 
     The loss is a mean, so the penalty falls with the number of texts.
     """
-    penalty = PENALTY / max(1, len(rows))
-    row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    col = np.concatenate(rows) if rows else np.zeros(0, np.int64)
-    value = ratios[col]
+    penalty /= max(1, len(sample.labels))
     theta, bias = np.zeros(len(ratios)), 0.0
     mean, square = np.zeros(len(ratios) + 1), np.zeros(len(ratios) + 1)
-    weights = weights / weights.sum()
-    for step in range(1, 301):
-        z = bias + np.bincount(row, theta[col] * value, minlength=len(rows))
-        error = weights * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels)
-        grad = np.bincount(col, error[row] * value, minlength=len(ratios)) + penalty * theta
+    weights = sample.weights / sample.weights.sum()
+    for step in range(1, STEPS + 1):
+        error = weights * (_probability(bias + sample.sums(theta * ratios)) - sample.labels)
+        grad = sample.spread(error, len(ratios)) * ratios + penalty * theta
         grad = np.append(grad, error.sum())
         mean = 0.9 * mean + 0.1 * grad
         square = 0.999 * square + 0.001 * grad**2
@@ -130,18 +165,35 @@ def _fit(rows: list[np.ndarray], labels: np.ndarray, weights: np.ndarray, ratios
     return theta * ratios, bias
 
 
+def _loss(sample: _Sample, weights: np.ndarray, bias: float) -> float:
+    p = np.clip(_probability(bias + sample.sums(weights)), 1e-9, 1 - 1e-9)
+    right = np.where(sample.labels == 1, p, 1 - p)
+    return float(-(sample.weights * np.log(right)).sum())
+
+
+def best_penalty(rows: list[np.ndarray], labels: np.ndarray, weights: np.ndarray, ratios: np.ndarray) -> float:
+    """The penalty whose fit on two thirds of the texts predicts the others best."""
+    third = np.arange(len(rows)) % 3 == 0
+    if len(set(labels[~third].tolist())) < 2 or not third.any():
+        return PENALTIES[len(PENALTIES) // 2]
+    pick = lambda which: _Sample([rows[i] for i in np.flatnonzero(which)], labels[which], weights[which])
+    learned, other = pick(~third), pick(third)
+    return min(PENALTIES, key=lambda x: _loss(other, *_fit(learned, ratios, x)))
+
+
 def fit(
     docs: DataFrame,
     labels: DataFrame,
     label: str = "toxic",
-    features: int = 4096,
     per_label: int = 10_000,
+    by_chance: float = 1.0,
 ) -> Model:
     """A model from the rows of ``docs`` (``doc_id, text``) that ``labels`` marks.
 
     The ratios are of all these rows; the regression takes at most ``per_label`` of each
     label, chosen by hashed id and weighted to the share that the label has in all. What
-    comes to the driver is bounded by ``features`` and ``per_label``.
+    comes to the driver is at most a number for each of the 2^``BITS`` buckets. Texts whose id
+    cannot have a label are left where they are: the labelled ids' bits are tested first.
     """
     known = (
         labels.filter(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1))
@@ -149,18 +201,16 @@ def fit(
         .agg(F.max(label).cast("int").alias("label"))
     )
     texts = docs.select("doc_id", "text").filter(F.col("doc_id").isNotNull())
-    # Labels grow with the documents, so texts and labels meet by a sorted join at any size.
-    counts = ngram_counts(texts.join(known.hint("merge"), "doc_id")).cache()
-    try:
-        total = counts.filter(F.col("bucket") == ALL).first()
-        pos, neg = (total.pos, total.neg) if total else (0, 0)
-        none = np.zeros(0)
-        if not pos or not neg:
-            share = 1.0 if pos else 0.0
-            return Model(none.astype(np.int32), none, np.inf if share else -np.inf)
-        best = select_features(counts, pos, neg, features).collect()
-    finally:
-        counts.unpersist()
+    # Labels grow with the documents, so texts and labels meet by a join of any size.
+    texts = possibly_among(texts, known, "doc_id")
+    counts = stored(ngram_counts(texts.join(known, "doc_id")), "ngrams")
+    total = counts.filter(F.col("bucket") == ALL).groupBy().sum("pos", "neg").first()
+    pos, neg = total[0] or 0, total[1] or 0
+    if not pos or not neg:
+        return Model(np.zeros(0, np.int32), np.zeros(0), np.inf if pos else -np.inf)
+    best = select_features(counts, pos, neg, per_label, by_chance).collect()
+    if not best:
+        return Model(np.zeros(0, np.int32), np.zeros(0), float(np.log(pos / neg)))
     buckets = np.array([r.bucket for r in best], np.int32)
     order = np.argsort(buckets)
     buckets = buckets[order]
@@ -169,19 +219,22 @@ def fit(
     sample = texts.join(F.broadcast(chosen), "doc_id")
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, marks = [], []
+        found = []
         for batch in batches:
-            rows += [np.array(x, np.int64) for x in batch.column(0).to_pylist()]
-            marks += batch.column(1).to_pylist()
-        marks = np.array(marks)
+            numbers = [np.array(x, np.int32) for x in batch.column(1).to_pylist()]
+            found += zip(batch.column(0).to_pylist(), numbers, batch.column(2).to_pylist(), strict=True)
+        # In the order of ids, so that a repeated task gives the same model.
+        found.sort(key=lambda x: (x[0], x[1].tobytes()))
+        rows, marks = [x[1] for x in found], np.array([x[2] for x in found])
         each = np.where(marks == 1, pos / max(1, (marks == 1).sum()), neg / max(1, (marks == 0).sum()))
-        weights, bias = _fit(rows, marks, each, ratios)
+        penalty = best_penalty(rows, marks, each, ratios)
+        weights, bias = _fit(_Sample(rows, marks, each), ratios, penalty)
         yield pa.RecordBatch.from_pydict({"weights": [weights.tolist()], "bias": [float(bias)]})
 
-    # One task fits, on the few chosen features of a bounded number of texts; they are
-    # found in parallel before.
+    # One task fits, on the chosen features of a bounded number of texts; they are found in
+    # parallel before.
     fitted = (
-        sample.select(_features(F.col("text"), buckets).alias("x"), "label")
+        sample.select("doc_id", _features(F.col("text"), buckets).alias("x"), "label")
         .repartition(1)
         .mapInArrow(learn, "weights array<double>, bias double")
         .first()
