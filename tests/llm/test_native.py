@@ -34,7 +34,7 @@ def rows(df):
     return sorted(str(sorted(r.asDict().items())) for r in df.collect())
 
 
-@pytest.mark.parametrize("sf_dir", [SMALL, "/root/testdata/sf0.1"])
+@pytest.mark.parametrize("sf_dir", [SMALL, "/root/testdata/sf0.01", "/root/testdata/sf0.1"])
 @pytest.mark.parametrize("name", ["op1_quality_rules", "op6_chat_rotation", "op7_warc_bundles"])
 def test_whole_tables(spark, name, sf_dir):
     assert assert_same(QUERIES[name](spark, sf_dir), sf_dir, ORACLES[name]) > 0
