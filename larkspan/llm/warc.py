@@ -166,10 +166,30 @@ def parse_records(frame: bytes) -> Iterator[tuple]:
         at = end + 4
 
 
+# Schemes of Spark's paths, and of the file systems that open them in the tasks.
+SCHEMES = {
+    "file": "file", "hdfs": "hdfs", "viewfs": "viewfs", "s3": "s3", "s3a": "s3", "s3n": "s3", "gs": "gs",
+    "abfs": "abfs", "abfss": "abfss",
+}
+
+
+def bundle_address(folder: str) -> str:
+    """The address of ``folder``, a path of Spark's, for the file systems of the tasks.
+
+    Paths without a scheme are local. Another scheme than those of ``SCHEMES`` is an error,
+    raised before anything is written.
+    """
+    scheme, separator, rest = folder.partition("://")
+    if not separator:
+        scheme, rest = "file", folder.removeprefix("file:")
+    if scheme.lower() not in SCHEMES:
+        known = ", ".join(SCHEMES)
+        raise ValueError(f"bundles can't be written to {scheme}://; the schemes are {known}")
+    return f"{SCHEMES[scheme.lower()]}://{rest}"
+
+
 def _filesystem(folder: str) -> tuple[fs.FileSystem, str]:
-    if "://" not in folder:
-        folder = "file://" + folder.removeprefix("file:")
-    return fs.FileSystem.from_uri(folder)
+    return fs.FileSystem.from_uri(bundle_address(folder))
 
 
 def seek_table(frames: list[tuple[int, int]]) -> bytes:
@@ -264,11 +284,13 @@ def write_bundles(
     """Write ``records`` (as of ``with_record_types``) below ``folder``; the manifest.
 
     Each task writes bundles of its own under new names, in a folder that all machines
-    share (a local or object-store path, opened where the task runs). A task holds one
+    share, opened where the task runs (see ``bundle_address``; ``s3a`` and ``s3n`` are opened as
+    ``s3``, ``hdfs`` and ``viewfs`` by the machines' own client library). A task holds one
     frame at a time: ``frame_bytes`` or one longer record. The manifest is written as a
     table in ``folder`` when all tasks are done and names only files of tasks that
     succeeded; files of a lost or repeated task are never read.
     """
+    bundle_address(folder)
 
     def write(batches):
         filesystem, base = _filesystem(f"{folder}/bundles")

@@ -261,3 +261,17 @@ def test_warc_bundles_are_plain_zstandard(spark):
 def test_warc_without_pages(spark):
     _, got, _ = read_back(spark, odd_pages(spark).limit(0))
     assert got.count() == 0
+
+
+def test_warc_addresses():
+    assert warc.bundle_address("/a/b") == "file:///a/b" == warc.bundle_address("file:/a/b")
+    assert warc.bundle_address("s3a://bucket/x") == "s3://bucket/x" == warc.bundle_address("S3N://bucket/x")
+    assert warc.bundle_address("hdfs://host:8020/x") == "hdfs://host:8020/x"
+    with pytest.raises(ValueError, match="wasb"):
+        warc.write_bundles(None, "wasb://x/y")
+
+
+def test_warc_opens_object_stores():
+    """The address of a bucket is one that the tasks can open; nothing is read."""
+    found, path = warc._filesystem("s3a://bucket/folder?region=eu-west-1")
+    assert found.type_name == "s3" and path == "bucket/folder"
