@@ -97,6 +97,80 @@ def test_language_of_odd_rows(spark):
     assert no_docs(spark).select(langid.predict(text, langid.fit(no_docs(spark)))).count() == 0
 
 
+def grams_by_definition(text):
+    """How often each bucket of a text's 1- to 4-grams occurs, word by word."""
+    found = Counter()
+    for word in regex.findall(r"\p{L}+", (text or "").lower()):
+        found.update(word_ngrams([word], langid.LOW, langid.HIGH, langid.BITS)[1].tolist())
+    return found
+
+
+def ftrl_by_definition(examples, classes, epochs=3, alpha=0.5, beta=1.0, l1=0.1, l2=0.1):
+    """Weights by (bucket, class), a number at a time; examples: (label, {bucket: value})."""
+    z, n = defaultdict(float), defaultdict(float)
+
+    def weight(key):
+        if abs(z[key]) <= l1:
+            return 0.0
+        return (np.sign(z[key]) * l1 - z[key]) / ((beta + np.sqrt(n[key])) / alpha + l2)
+
+    for _ in range(epochs):
+        for label, vector in examples:
+            w = {(b, c): weight((b, c)) for b in vector for c in range(classes)}
+            logits = [sum(x * w[b, c] for b, x in vector.items()) for c in range(classes)]
+            top = max(logits)
+            e = [np.exp(x - top) for x in logits]
+            for c in range(classes):
+                error = e[c] / sum(e) - (c == label)
+                for b, x in vector.items():
+                    g, key = x * error, (b, c)
+                    z[key] += g - (np.sqrt(n[key] + g * g) - np.sqrt(n[key])) / alpha * w[key]
+                    n[key] += g * g
+    return {key: weight(key) for key in list(z)}
+
+
+def test_language_by_definition(spark):
+    """Frequencies, weights and predictions against dictionaries and single numbers."""
+    docs = table(spark, "/root/testdata/sf0.001", "documents")
+    model = langid.fit(docs)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    grams = {i: grams_by_definition(t) for i, t in texts.items()}
+    seen = Counter(b for g in grams.values() for b in g)
+    for bucket in range(langid.SIZE):
+        want = np.log((1 + len(texts)) / (1 + seen[bucket])) + 1 if seen[bucket] else 0.0
+        assert abs(model.idf[bucket] - want) < 1e-12
+
+    def vector(doc_id):
+        raw = {b: np.log1p(k) * model.idf[b] for b, k in grams[doc_id].items()}
+        norm = np.sqrt(sum(x * x for x in raw.values()))
+        return {b: x / norm for b, x in raw.items()}
+
+    got = docs.select("doc_id", langid.predict(F.col("text"), model).alias("p")).collect()
+    for r in got:
+        if grams[r.doc_id]:
+            x = vector(r.doc_id)
+            logits = np.array([model.bias[c] + sum(v * model.weights[b, c] for b, v in x.items()) for c in range(4)])
+            p = np.exp((logits - logits.max()) / model.temperature)
+            p /= p.sum()
+            assert r.p.lang == model.langs[p.argmax()] and abs(r.p.score - p.max()) < 1e-9
+
+    some = [i for i in sorted(texts) if 5 < len(grams[i]) < 500][:19]
+    labels = [k % 3 for k in range(len(some))]
+    examples = []
+    for key, (i, label) in enumerate(zip(some, labels, strict=True)):
+        x = vector(i)
+        at = np.array(sorted(x))
+        examples.append((key, label, at, np.array([x[b] for b in at])))
+    weights, t = langid._train(examples[::-1], 3)
+    want = ftrl_by_definition(
+        [(label, dict(zip(at.tolist(), value.tolist(), strict=True)) | {langid.SIZE: 1.0}) for _, label, at, value in examples], 3
+    )
+    assert t == 1.0 and len(want) > 1000
+    for (bucket, c), w in want.items():
+        assert abs(weights[bucket, c] - w) < 1e-7
+    assert np.count_nonzero(weights) == sum(w != 0 for w in want.values())
+
+
 def test_ftrl_is_sparse_and_temperature_cools():
     rng = np.random.default_rng(1)
     model = langid.Ftrl(50, 2, l1=1.0)
