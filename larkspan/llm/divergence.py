@@ -188,24 +188,33 @@ def _gap(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return (p - q) ** 2 // q
 
 
+def _added_up(keys: list[np.ndarray], values: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Each distinct key and the sum of its values."""
+    distinct, of = np.unique(np.concatenate(keys), return_inverse=True)
+    total = np.zeros(len(distinct), np.int64)
+    np.add.at(total, of, np.concatenate(values))
+    return distinct, total
+
+
 def pair_prices(sources: np.ndarray, n: np.ndarray, p: np.ndarray, p0: np.ndarray, sizes: np.ndarray):
-    """The price of all cells of the joint table of each two sources, for terms of one language.
+    """(source, source, price of all cells of their joint table), for terms of one language.
 
     The entries (``sources`` as numbers, level ``n``, prices) are those of one term after
     the other, ``sizes`` of each. Terms of like frequency come together, as they have few
-    columns.
+    columns. Given are sources that have a term in common.
     """
     starts = np.cumsum(sizes) - sizes
     order = np.argsort(np.add.reduceat(n, starts), kind="stable") if len(sizes) else starts
     sizes, moved = sizes[order], np.repeat(starts[order], sizes[order])
     moved += np.arange(len(moved)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    sources, n, p, p0 = sources[moved], n[moved], p[moved], p0[moved]
+    sources, n, p, p0 = sources[moved].astype(np.int64), n[moved], p[moved], p0[moved]
     columns, of_entry = np.unique(np.stack([sources, n]), axis=1, return_inverse=True)
     of_entry = of_entry.ravel()
     price_of, zero_of = np.zeros((2, columns.shape[1]), np.int64)
     price_of[of_entry], zero_of[of_entry] = p, p0
     width = int(sources.max(initial=-1)) + 1
-    total = np.zeros((width, width), np.int64)
+    keys, values = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    held = 0
     starts = np.concatenate([[0], np.cumsum(sizes)])
     for low, high in _blocks(sizes, of_entry):
         own = slice(starts[low], starts[high])
@@ -213,10 +222,17 @@ def pair_prices(sources: np.ndarray, n: np.ndarray, p: np.ndarray, p0: np.ndarra
         rows = np.repeat(np.arange(high - low), sizes[low:high])
         for a, b, terms in joint_tables(rows, local, len(used)):
             a, b = used[a], used[b]
-            pa_, pb, za, zb = price_of[a], price_of[b], zero_of[a], zero_of[b]
-            cell = _gap(pa_, pb) - _gap(pa_, zb) - _gap(za, pb) + _gap(za, zb)
-            np.add.at(total, (columns[0, a], columns[0, b]), terms * cell)
-    return total
+            left, right, zero_left, zero_right = price_of[a], price_of[b], zero_of[a], zero_of[b]
+            cell = _gap(left, right) - _gap(left, zero_right) - _gap(zero_left, right) + _gap(zero_left, zero_right)
+            found = _added_up([columns[0, a] * width + columns[0, b]], [terms * cell])
+            keys.append(found[0])
+            values.append(found[1])
+            held += len(found[0])
+            if held > ENTRIES:
+                keys, values = ([x] for x in _added_up(keys, values))
+                held = len(keys[0])
+    pairs, total = _added_up(keys, values)
+    return pairs // max(1, width), pairs % max(1, width), total
 
 
 def _joint_sums(priced: DataFrame) -> DataFrame:
@@ -233,19 +249,19 @@ def _joint_sums(priced: DataFrame) -> DataFrame:
                 named = flat.field("source").dictionary_encode()
                 names = named.dictionary.to_pylist()
                 whole = lambda name: flat.field(name).to_numpy()  # noqa: B023, E731
-                total = pair_prices(
+                a, b, total = pair_prices(
                     named.indices.to_numpy(),
                     *map(whole, ("n", "p", "p0")),
                     pc.list_value_length(lists).to_numpy(),
                 )
-                a, b = np.nonzero(total)
-                a, b = a[a != b], b[a != b]
+                other = a != b
+                a, b, total = a[other], b[other], total[other]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.repeat(pa.scalar(lang, pa.string()), len(a)),
                         pa.array([names[i] for i in a], pa.string()),
                         pa.array([names[i] for i in b], pa.string()),
-                        pa.array(total[a, b]),
+                        pa.array(total),
                     ],
                     ["lang", "source", "item", "value"],
                 )
