@@ -10,7 +10,8 @@ Defined cases: a null role is the speaker ``unknown``, a null text is empty, and
 role, then text, so ties and repeated rows are kept in a fixed order. The marker ``<|``
 within a text or name is written ``< |``, so no text can end its own turn. A
 conversation of system turns alone has no participant and no row; an empty table gives
-no row. Other columns are ignored.
+no row. Other columns are ignored. Turns are numbered in pieces by their number, so those of
+one conversation whose turns are all null or equal are sorted together in one task.
 """
 
 from __future__ import annotations

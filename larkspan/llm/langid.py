@@ -168,7 +168,8 @@ def fit(train: DataFrame, per_lang: int = 1000) -> Model:
     """A model from ``train`` (``doc_id, text, lang``), from no other column.
 
     At most ``per_lang`` texts of each language, chosen by hashed id, train the weights
-    in one task. The list of languages, the document frequencies (a fixed number) and the
+    in one task. The list of languages (as many as ``lang`` has
+    values: it should be clean), the document frequencies (a fixed number) and the
     weights come to the driver.
     """
     known = train.select("doc_id", "text", "lang").dropna()

@@ -306,7 +306,8 @@ def _ranked(pieces: DataFrame, histogram: dict[int, int], order: list[str]) -> D
     """``pieces`` with ``rank``: the number of each among those of its length, from 0.
 
     The pieces of a length are spread over buckets of about ``PER_BUCKET``, numbered in
-    each bucket, and moved on by what the buckets before hold.
+    each bucket, and moved on by what the buckets before hold. Pieces that are equal in all
+    of ``order`` share a bucket.
     """
     buckets = [1] * (max(histogram) + 1)
     for length, n in histogram.items():
