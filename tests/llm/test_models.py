@@ -271,13 +271,13 @@ def test_toxicity_fit_is_at_its_minimum():
     labels = np.array([int(rng.random() < 1 / (1 + np.exp(2 - (3 in r) * 4))) for r in rows])
     weights, ratios = np.ones(300), np.ones(12)
     sample = toxicity._Sample(rows, labels, weights)
-    theta, bias = toxicity._fit(sample, ratios, 1.0)
-    loss = lambda t, b: toxicity._loss(sample, t, b) / 300 + 1.0 / 300 * (t @ t) / 2
+    theta, bias = toxicity._weights(toxicity._fit(sample, ratios, 1.0), ratios)
+    loss = lambda t, b: toxicity._losses(sample, t, b).sum() / 300 + 1.0 / 300 * (t @ t) / 2
     best = loss(theta, bias)
     for k in range(12):
         for move in (0.05, -0.05):
-            assert loss(theta + move * np.eye(12)[k], bias) > best - 1e-5
-    assert loss(theta, bias + 0.05) > best - 1e-5 and theta.argmax() == 3
+            assert loss(theta + move * np.eye(12)[k], bias) > best
+    assert loss(theta, bias + 0.05) > best and theta.argmax() == 3
     assert toxicity.best_penalty(rows, labels, weights, ratios) in toxicity.PENALTIES
 
 
