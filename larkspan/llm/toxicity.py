@@ -242,9 +242,9 @@ def fit(
         .agg(F.max(label).cast("int").alias("label"))
     )
     texts = docs.select("doc_id", "text").filter(F.col("doc_id").isNotNull())
-    # Labels grow with the documents, so texts and labels meet by a join of any size.
     texts = possibly_among(texts, known, "doc_id")
-    counts = stored(ngram_counts(texts.join(known, "doc_id")), "ngrams")
+    # Labels grow with the documents, so texts and labels meet by sorting at any size.
+    counts = stored(ngram_counts(texts.join(known.hint("merge"), "doc_id")), "ngrams")
     total = counts.filter(F.col("bucket") == ALL).groupBy().sum("pos", "neg").first()
     pos, neg = total[0] or 0, total[1] or 0
     if not pos or not neg:
