@@ -218,10 +218,9 @@ class ForcedBoundaryEncoder:
         symbols[ends] = self.last_symbol[raw[ends]]
         cut = np.ones(len(raw), bool)
         cut[1:] = ~self.inner[raw[:-1], raw[1:]]
-        ends = ends[ends > 0]
+        starts, ends = ends[:-1] + 1, ends[ends > 0]
         cut[ends] = ~self.final[raw[ends - 1], raw[ends]]
-        cut[ends[ends + 1 < len(raw)] + 1] = True
-        cut[:1] = True
+        cut[starts] = True
         return symbols, np.cumsum(cut) - 1
 
     def encode_words(self, words: list[bytes]) -> list[bytes]:

@@ -227,6 +227,16 @@ def test_no_token_holds_a_cut(encoder, library):
     assert cuts > 1000
 
 
+def test_words_are_encoded_alike_in_any_order(encoder):
+    """Words of one byte, first and last among them: each has its own ids beside any other."""
+    words = [b"t", b"h", b"he", b"t", "×".encode(), b"a", b"the", b"\x1c", b"x" * 40, b"n", "é".encode()]
+    alone = [encoder.encode_words([w])[0] for w in words]
+    rng = random.Random(4)
+    for _ in range(200):
+        order = rng.sample(range(len(words)), rng.randint(1, len(words)))
+        assert encoder.encode_words([words[i] for i in order]) == [alone[i] for i in order]
+
+
 def test_merging_many_is_merging_one(encoder):
     rng = random.Random(3)
     words = ["".join(rng.choices("the ing ation"[: rng.randint(3, 13)], k=rng.randint(1, 30))) for _ in range(2000)]
